@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import problems
+from cairn.plans import problems, tables
 
-QUERIES = dict(problems.QUERIES)
-ORACLES = dict(problems.ORACLES)
+QUERIES = problems.QUERIES | tables.Q
+ORACLES = problems.ORACLES | tables.O
