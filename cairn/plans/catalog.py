@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import problems, tables
+from cairn.plans import problems, rows, tables
 
-QUERIES = problems.QUERIES | tables.Q
-ORACLES = problems.ORACLES | tables.O
+QUERIES = problems.QUERIES | tables.Q | rows.Q
+ORACLES = problems.ORACLES | tables.O | rows.O
