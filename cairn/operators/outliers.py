@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cairn.operators.profile import _sql, finite
@@ -127,7 +128,6 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = 50,
     The trees are grown on a bounded seeded sample (``trees`` x ``sample`` rows) and scored as plain
     column expressions of bounded depth, in one scan.
     """
-    import pandas as pd
 
     vs = [finite(df.schema, c) for c in names]
     full = df.select(key, *[v.alias(f"x{i}") for i, v in enumerate(vs)]).dropna()
