@@ -45,6 +45,9 @@ _AT_WORDS = re.compile(r"(?i)(?<![\w.+\-])([\w.+\-]+)\s+(?:at|arroba|ät|chez)\s
 _DOT_WORD = re.compile(r"(?i)\s+(?:dot|punto|punkt|point|ponto)\s+")
 
 
+_DOTS = ("dot", "punto", "punkt", "point", "ponto")
+_AT_HINTS = tuple(w + g + c for w in ("at", "arroba", "ät", "chez", "@") for g in ("", " ") for c in ")]}>")
+_DOT_HINTS = tuple(w + g + c for w in _DOTS for g in ("", " ") for c in ")]}>")
 SPACES = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
 
 
@@ -94,14 +97,20 @@ def normalise(text: str) -> Mapped:
             elif "\U0001d400" <= c <= "\U0001d7ff":
                 edits.append((i, i + 1, unicodedata.normalize("NFKC", c)))
         m.rewrite(edits)
-    m.rewrite([(x.start(), x.end(), "".join(DIGIT_WORDS[w.lower()] for w in re.split(r"[ \-]+", x.group()))) for x in _SPELLED.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), "@") for x in _AT.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), ".") for x in _DOT.finditer(m.text)])
-    edits = []
-    for x in _AT_WORDS.finditer(m.text):
-        edits.append((x.end(1), x.start(2), "@"))
-        edits += [(x.start(2) + d.start(), x.start(2) + d.end(), ".") for d in _DOT_WORD.finditer(x.group(2))]
-    m.rewrite(edits)
+    # each disguise is looked for only where a word of it occurs
+    low = m.text.lower()
+    if sum(w in DIGIT_WORDS for w in low.replace("-", " ").split()) > 3:
+        m.rewrite([(x.start(), x.end(), "".join(DIGIT_WORDS[w.lower()] for w in re.split(r"[ \-]+", x.group()))) for x in _SPELLED.finditer(m.text)])
+    if any(k in low for k in _AT_HINTS):
+        m.rewrite([(x.start(), x.end(), "@") for x in _AT.finditer(m.text)])
+    if any(k in low for k in _DOT_HINTS):
+        m.rewrite([(x.start(), x.end(), ".") for x in _DOT.finditer(m.text)])
+    if any(f" {k} " in low for k in _DOTS):
+        edits = []
+        for x in _AT_WORDS.finditer(m.text):
+            edits.append((x.end(1), x.start(2), "@"))
+            edits += [(x.start(2) + d.start(), x.start(2) + d.end(), ".") for d in _DOT_WORD.finditer(x.group(2))]
+        m.rewrite(edits)
     return m
 
 
@@ -138,6 +147,7 @@ PHONES = [
     re.compile(r"(?<!\d )(?<![\w.,/\-])[6-9]\d{2}[ ]\d{3}[ ]\d{3}(?![\w/]|[.\-,]\d| \d)"),
     re.compile(r"(?i:(?<![a-zé])(?:tel|tél|phone|fax|mobile|cell|call|text|ring|telefon|teléfono|téléphone|handy|mobil|móvil|whatsapp|callback number|llame al|joignable au)\b)\.?\s*(?i:no\.?|number|nr\.?)?\s*[:.]?\s*(\(?\+?\d(?:[ .\-/()]{0,2}\d){6,14})(?![\w/]|[.\-,]\d)"),
 ]
+_RUN = re.compile(r"\d(?:[^\d]{0,3}\d){5,}")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}$|\d{2}[./-]\d{2}[./-]\d{4}$|(?:\d{1,3}\.){3}\d{1,3}$")
 
 _C = r"[A-ZÀ-ÖØ-Þ]"
@@ -186,18 +196,24 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if "@" in t:
         for x in EMAIL.finditer(t):
             add("email", x.start(), x.end())
-    for rx in IDS:
-        for x in rx.finditer(t):
-            if rx is IDS[0] or not _GOODS.search(t, max(0, x.start(1) - 24), x.start(1)):
-                add("id_number", x.start(1), x.end(1))
-    for rx in PHONES:
-        for x in rx.finditer(t):
-            s, e = x.span(rx.groups)
-            if sum(c.isdigit() for c in t[s:e]) >= 7 and not _DATE.match(t[s:e]) and not _GOODS.search(t, max(0, s - 24), s):
-                add("phone", s, e)
+    # numbers are looked for around runs of digits only; a run ends where four characters hold none
+    for run in _RUN.finditer(t):
+        lo, hi = max(0, run.start() - 64), min(len(t), run.end() + 24)
+        near = max(0, run.start() - 8)
+        for rx in IDS:
+            for x in rx.finditer(t, lo if rx is IDS[0] else near, hi):
+                if rx is IDS[0] or not _GOODS.search(t, max(0, x.start(1) - 24), x.start(1)):
+                    add("id_number", x.start(1), x.end(1))
+        for rx in PHONES:
+            for x in rx.finditer(t, lo if rx is PHONES[-1] else near, hi):
+                s, e = x.span(rx.groups)
+                if sum(c.isdigit() for c in t[s:e]) >= 7 and not _DATE.match(t[s:e]) and not _GOODS.search(t, max(0, s - 24), s):
+                    add("phone", s, e)
+    low = t.lower()
     for rx in ADDRESSES:
-        for x in rx.finditer(t):
-            add("address", x.start(), x.end())
+        if rx is not ADDRESSES[1] or any(k in low for k in ("box", "postfach", "apartado", "postale", "bp ", "postal")):
+            for x in rx.finditer(t):
+                add("address", x.start(), x.end())
     for x in TITLED.finditer(t):
         if x.group(1) not in NOT_SURNAME and x.group(1) not in _STARTERS:
             add("person_name", x.start(), x.end(2) if x.group(2) and x.group(1) in GIVEN else x.end(1))
