@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import measures, problems, rows, tables
+from cairn.plans import measures, more, problems, rows, tables
 
-QUERIES = problems.QUERIES | tables.Q | rows.Q | measures.Q
-ORACLES = problems.ORACLES | tables.O | rows.O | measures.O
+QUERIES = problems.QUERIES | tables.Q | rows.Q | measures.Q | more.Q
+ORACLES = problems.ORACLES | tables.O | rows.O | measures.O | more.O
