@@ -37,20 +37,25 @@ def _long(wide: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
 
 
 def full_profile(df: DataFrame) -> DataFrame:
-    """One row per column: n, nulls, distinct, min, max, mean (numbers) and the most frequent value (others)."""
-    s = df.schema
-    nums, fields = set(numeric_columns(s)), ["n", "nulls", "distinct_count", "min_value", "max_value", "mean_value", "top_value"]
-    aggs = []
-    for f in s:
-        v = value(s, f.name)
-        isnum = f.name in nums
-        aggs.append(F.struct(
-            F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_count"),
-            F.min(v.cast("double") if isnum else F.lit(None).cast("double")).alias("min_value"), F.max(v.cast("double") if isnum else F.lit(None).cast("double")).alias("max_value"),
-            F.avg(v.cast("double") if isnum else F.lit(None).cast("double")).alias("mean_value"),
-            (F.lit(None).cast("string") if isnum else F.mode(v.cast("string"), deterministic=True)).alias("top_value"),
-        ).alias(f.name))
-    return _long(df.agg(*aggs), s.names, fields)
+    """One row per column: n, nulls, distinct, min, max, mean (numbers) and the most frequent value (others, ties to the smaller).
+
+    Each column is its own branch of one job: a scan of that column only, counted by value with map-side
+    combining; everything else follows from the value counts. Several distinct counts in one aggregation
+    would multiply every row by the number of columns instead.
+    """
+    nums, out = set(numeric_columns(df.schema)), None
+    null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for f in df.schema:
+        num = f.name in nums
+        c = df.select(value(df.schema, f.name).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        x, k = F.col("v").cast("double"), F.when(F.col("v").isNotNull(), F.col("c"))
+        row = c.agg(
+            F.lit(f.name).alias("column_name"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_count"),
+            (F.min(x) if num else null_d).alias("min_value"), (F.max(x) if num else null_d).alias("max_value"), (F.sum(x * k) / F.sum(k) if num else null_d).alias("mean_value"),
+            (null_s if num else F.min_by(F.col("v").cast("string"), F.when(F.col("v").isNotNull(), F.struct(-k, F.col("v").cast("string"))))).alias("top_value"),
+        )
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 def quick_profile(df: DataFrame, rsd: float = 0.02) -> DataFrame:

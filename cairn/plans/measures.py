@@ -64,20 +64,20 @@ _bm = "x AS (SELECT (l_returnflag = 'R')::INT AS y, l_discount * 10 AS s FROM li
 add("adv9_binary_metrics", lambda s, d: K.binary_metrics(read(s, d, "lineitem"), F.col("l_returnflag") == "R", F.col("l_discount") * 10).select("accuracy", "precision_", "recall", "f1", "auc"), f"WITH {_bm}, c AS (SELECT COUNT(*) FILTER (WHERE y = 1 AND s >= 0.5) AS tp, COUNT(*) FILTER (WHERE y = 0 AND s >= 0.5) AS fp, COUNT(*) FILTER (WHERE y = 1 AND s < 0.5) AS fn, COUNT(*) FILTER (WHERE y = 0 AND s < 0.5) AS tn FROM x), g AS (SELECT s, SUM(y) AS p, COUNT(*) - SUM(y) AS n FROM x GROUP BY 1), b AS (SELECT p, n, COALESCE(SUM(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / (tp + fp) AS precision_, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, (SELECT SUM(p * (b + n / 2)) / (SUM(p) * SUM(n)) FROM b) AS auc FROM c")
 add("dna1_fingerprint", lambda s, d: K.fingerprint(read(s, d, "customer")))
 
-_half = F.col("o_orderkey") % 2 == 0
+_half = lambda: F.col("o_orderkey") % 2 == 0
 add("drf1_numeric", lambda s, d: D.numeric_drift(read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], F.col("l_returnflag") == "R"), " UNION ALL ".join(f"SELECT '{c}' AS column_name, ma AS mean_a, mb AS mean_b, abs(mb - ma) / abs(ma) AS mean_change, abs(sb - sa) / abs(sa) AS std_change, nb < na AS new_min, xb > xa AS new_max, abs(mb - ma) / abs(ma) >= 0.10 OR abs(sb - sa) / abs(sa) >= 0.25 AS drifted FROM (SELECT AVG({c}) FILTER (WHERE f) AS ma, AVG({c}) FILTER (WHERE NOT f) AS mb, stddev_samp({c}) FILTER (WHERE f) AS sa, stddev_samp({c}) FILTER (WHERE NOT f) AS sb, MIN({c}) FILTER (WHERE f) AS na, MIN({c}) FILTER (WHERE NOT f) AS nb, MAX({c}) FILTER (WHERE f) AS xa, MAX({c}) FILTER (WHERE NOT f) AS xb FROM (SELECT *, l_returnflag = 'R' AS f FROM lineitem))" for c in ["l_quantity", "l_extendedprice"]))
 _dv = "f AS (SELECT greatest(p, 1e-6) / SUM(greatest(p, 1e-6)) OVER () AS p, greatest(q, 1e-6) / SUM(greatest(q, 1e-6)) OVER () AS q, greatest(p, 1e-10) / SUM(greatest(p, 1e-10)) OVER () AS x, greatest(q, 1e-10) / SUM(greatest(q, 1e-10)) OVER () AS y FROM s) SELECT SUM((q - p) * ln(q / p)) AS psi, SUM(x * log2(x / ((x + y) / 2))) / 2 + SUM(y * log2(y / ((x + y) / 2))) / 2 AS jsd FROM f"
-add("drf2_psi_numeric", lambda s, d: D.divergence(D.binned(read(s, d, "orders"), "o_totalprice", _half)), f"WITH r AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders), c AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) AS b, COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, COUNT(*) FILTER (WHERE o_orderkey % 2 <> 0) AS k FROM orders, r GROUP BY 1), s AS (SELECT a / SUM(a) OVER () AS p, k / SUM(k) OVER () AS q FROM c), {_dv}")
-add("drf3_jsd_category", lambda s, d: D.divergence(D.shares(read(s, d, "orders"), "o_orderpriority", _half)), f"WITH c AS (SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, COUNT(*) FILTER (WHERE o_orderkey % 2 <> 0) AS k FROM orders GROUP BY 1), s AS (SELECT a / SUM(a) OVER () AS p, k / SUM(k) OVER () AS q FROM c), {_dv}")
+add("drf2_psi_numeric", lambda s, d: D.divergence(D.binned(read(s, d, "orders"), "o_totalprice", _half())), f"WITH r AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders), c AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) AS b, COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, COUNT(*) FILTER (WHERE o_orderkey % 2 <> 0) AS k FROM orders, r GROUP BY 1), s AS (SELECT a / SUM(a) OVER () AS p, k / SUM(k) OVER () AS q FROM c), {_dv}")
+add("drf3_jsd_category", lambda s, d: D.divergence(D.shares(read(s, d, "orders"), "o_orderpriority", _half())), f"WITH c AS (SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, COUNT(*) FILTER (WHERE o_orderkey % 2 <> 0) AS k FROM orders GROUP BY 1), s AS (SELECT a / SUM(a) OVER () AS p, k / SUM(k) OVER () AS q FROM c), {_dv}")
 add("drf4_label_windows", lambda s, d: D.label_windows(read(s, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")).cast("double")), "t", "event_type"), "WITH e AS (SELECT epoch_us(ts)::DOUBLE AS t, event_type FROM events), q AS (SELECT quantile_cont(t, 0.2) AS a, quantile_cont(t, 0.4) AS b, quantile_cont(t, 0.6) AS c, quantile_cont(t, 0.8) AS d FROM e), w AS (SELECT (a < t)::INT + (b < t)::INT + (c < t)::INT + (d < t)::INT AS win, event_type AS label, COUNT(*) AS n FROM e, q GROUP BY 1, 2) SELECT win, label, n, n / SUM(n) OVER (PARTITION BY win) AS share FROM w")
-add("drf5_range_overlap", lambda s, d: D.range_overlap(read(s, d, "orders"), "o_totalprice", _half), "WITH r AS (SELECT MIN(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS a0, MAX(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS a1, MIN(o_totalprice) FILTER (WHERE o_orderkey % 2 <> 0) AS b0, MAX(o_totalprice) FILTER (WHERE o_orderkey % 2 <> 0) AS b1 FROM orders) SELECT greatest(least(a1, b1) - greatest(a0, b0), 0) / (a1 - a0) AS overlap FROM r")
+add("drf5_range_overlap", lambda s, d: D.range_overlap(read(s, d, "orders"), "o_totalprice", _half()), "WITH r AS (SELECT MIN(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS a0, MAX(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS a1, MIN(o_totalprice) FILTER (WHERE o_orderkey % 2 <> 0) AS b0, MAX(o_totalprice) FILTER (WHERE o_orderkey % 2 <> 0) AS b1 FROM orders) SELECT greatest(least(a1, b1) - greatest(a0, b0), 0) / (a1 - a0) AS overlap FROM r")
 add("drf6_mmd", lambda s, d: D.mean_discrepancy(read(s, d, "embeddings"), "vec_id", "embedding", F.col("label") % 2 == 0))
 
 _lo = lambda s, d, k: read(s, d, "lineitem").where(F.col("l_orderkey") % 2 == k)
 add("lek4_group_leakage", lambda s, d: T.group_leakage(_lo(s, d, 0), _lo(s, d, 1), "l_suppkey"), "SELECT COUNT(*) AS test_rows, COUNT(*) FILTER (WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0)) AS contaminated_rows, COUNT(*) FILTER (WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0)) / COUNT(*) AS ratio FROM lineitem WHERE l_orderkey % 2 = 1")
 add("lek4_inconsistent_labels", lambda s, d: T.inconsistent_labels(read(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag"), "WITH g AS (SELECT COUNT(*) AS n, MIN(l_returnflag) AS a, MAX(l_returnflag) AS b FROM lineitem GROUP BY l_quantity, l_discount, l_tax) SELECT COUNT(*) AS groups, SUM(n)::BIGINT AS rows, COUNT(*) FILTER (WHERE a <> b) AS conflicting_groups, COALESCE(SUM(n) FILTER (WHERE a <> b), 0)::BIGINT AS conflicting_rows FROM g")
 add("pii6_k_anonymity", lambda s, d: T.k_anonymity(read(s, d, "customer"), ["c_nationkey", "c_mktsegment"], 10), "WITH g AS (SELECT COUNT(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment) SELECT COUNT(*) AS groups, COUNT(*) FILTER (WHERE n < 10) AS small_groups, COALESCE(SUM(n) FILTER (WHERE n < 10), 0)::BIGINT AS small_rows, MIN(n) AS smallest FROM g")
-add("lek5_preprocessing", lambda s, d: T.preprocessing_leakage(read(s, d, "orders"), "o_totalprice", _half), "WITH a AS (SELECT AVG(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS train_mean, AVG(o_totalprice) AS full_mean FROM orders) SELECT *, abs(train_mean - full_mean) / abs(full_mean) AS relative_gap, abs(train_mean - full_mean) / abs(full_mean) < 1e-6 AS suspicious FROM a")
+add("lek5_preprocessing", lambda s, d: T.preprocessing_leakage(read(s, d, "orders"), "o_totalprice", _half()), "WITH a AS (SELECT AVG(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS train_mean, AVG(o_totalprice) AS full_mean FROM orders) SELECT *, abs(train_mean - full_mean) / abs(full_mean) AS relative_gap, abs(train_mean - full_mean) / abs(full_mean) < 1e-6 AS suspicious FROM a")
 add("lek9_containment", lambda s, d: X.containment(read(s, d, "documents"), "doc_id", "text", read(s, d, "document_data"), "file_id", "full_text", 13))
 _pr = lambda s, d: read(s, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("y"), (F.col("l_discount") * 5).alias("p0"), (F.col("l_tax") * 5).alias("p1"), (1 - F.col("l_discount") * 5 - F.col("l_tax") * 5).alias("p2"))
 add("lbl1_confident_joint", lambda s, d: T.confident_joint(_pr(s, d), "y", ["p0", "p1", "p2"]), """WITH x AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, l_discount * 5 AS p0, l_tax * 5 AS p1, 1 - l_discount * 5 - l_tax * 5 AS p2 FROM lineitem),

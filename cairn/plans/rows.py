@@ -38,9 +38,9 @@ add("cln5_safe_fixes", lambda s, d: C.handle_missing(C.remove_duplicates(_c(s, d
 _q = lambda t, c: f"b AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t})"
 _lo, _hi = "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"
 add("cln6_winsorize", lambda s, d: U.winsorize(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice"), f"WITH {_q('lineitem', 'l_extendedprice')} SELECT l_orderkey, l_linenumber, greatest(least(l_extendedprice, {_hi}), {_lo}) AS l_extendedprice FROM lineitem, b")
-_rules = {"age_range": F.col("age").between(0, 120), "contract_known": F.col("contract").isin("monthly", "yearly", "two_year", "trial"), "charges_positive": F.col("monthly_charges") >= 0, "row_id_present": F.col("row_id").isNotNull(), "contract_form": F.col("contract").rlike("^[a-z_]+$")}
+_rules = lambda: {"age_range": F.col("age").between(0, 120), "contract_known": F.col("contract").isin("monthly", "yearly", "two_year", "trial"), "charges_positive": F.col("monthly_charges") >= 0, "row_id_present": F.col("row_id").isNotNull(), "contract_form": F.col("contract").rlike("^[a-z_]+$")}
 add(
-    "cln7_validate", lambda s, d: C.validate(read(s, d, "demo_churn"), _rules),
+    "cln7_validate", lambda s, d: C.validate(read(s, d, "demo_churn"), _rules()),
     " UNION ALL ".join(f"SELECT '{k}' AS rule, COUNT(*) FILTER (WHERE NOT COALESCE({p}, FALSE)) AS failures, COUNT(*) AS checked FROM demo_churn" for k, p in {"age_range": "age BETWEEN 0 AND 120", "contract_known": "contract IN ('monthly','yearly','two_year','trial')", "charges_positive": "monthly_charges >= 0", "row_id_present": "row_id IS NOT NULL", "contract_form": "regexp_matches(contract, '^[a-z_]+$')"}.items()),
 )
 add(
