@@ -38,30 +38,49 @@ def _known(name: str, length: int) -> Column:
     return F.when(c.rlike(f"^[0-9a-f]{{{length}}}$"), c)
 
 
+def _number(c: Column) -> Column:
+    """The 64 bits of a fingerprint as one long; null for null."""
+    half = lambda at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def _text(c: Column) -> Column:
+    return F.lpad(F.lower(F.hex(c)), LENGTH, "0")
+
+
 def _distance(a: Column, b: Column) -> Column:
-    half = lambda x, at: F.conv(F.substring(x, at, 8), 16, 10).cast("long")
-    return sum(F.bit_count(half(a, at).bitwiseXOR(half(b, at))) for at in (1, 9))
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def _bounds(parts: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of each segment; segments are whole hexadecimal digits."""
     size, extra = divmod(LENGTH, parts)
-    out, at = [], 1
+    out, at = [], LENGTH
     for i in range(parts):
         n = size + (i < extra)
-        out.append((at, n))
-        at += n
+        at -= n
+        out.append((4 * at, 4 * n))
     return out
 
 
+def _piece(c: Column, pair: tuple[tuple[int, int], tuple[int, int]], slot: int) -> Column:
+    """Two segments and the slot they come from in one long: at most 12 bits each, 16 for the slot."""
+    cut = lambda low, n: F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    (a, m), (b, n) = pair
+    return F.lit(slot << 40).cast("long").bitwiseOR(F.shiftleft(cut(a, m), 20)).bitwiseOR(cut(b, n))
+
+
 def cross_split_pairs(images: DataFrame, k: int = 4, bits: int = 8) -> DataFrame:
     """(image_id_a, image_id_b): one in train, the other in val or test, both the same picture."""
     side = split_name(F.col("split"))
+    if not 1 <= k <= LENGTH - 2 or LENGTH // (k + 2) > 4:
+        raise ValueError("k + 2 segments of at most five digits are needed")
     rows = images.select(
         "image_id", F.when(side == "train", "t").when(side.isNotNull(), "e").alias("side"),
-        _known("sha256", 64).alias("sha"), *[_known(p, LENGTH).alias(p) for p in PRINTS],
+        _known("sha256", 64).alias("sha"), *[_number(_known(p, LENGTH)).alias(p) for p in PRINTS],
     ).where(F.col("side").isNotNull())
     tuple_ = ["sha", *PRINTS]
-    rows = rows.withColumn("cls", F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in tuple_])))
+    rows = rows.withColumn("cls", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in tuple_])))
     classes = rows.groupBy("side", "cls").agg(*[F.first(c).alias(c) for c in tuple_])
 
     def of(s: str, *cols: str) -> DataFrame:
@@ -69,20 +88,18 @@ def cross_split_pairs(images: DataFrame, k: int = 4, bits: int = 8) -> DataFrame
 
     same_file = of("t", "sha").join(of("e", "sha"), F.col("sha_t") == F.col("sha_e")).select("cls_t", "cls_e")
 
-    segments = _bounds(k + 2)
-    keys = [
-        F.struct(F.lit(n * 64 + j).alias("slot"), F.concat(*[F.substring(p, *segments[i]) for i in pair]).alias("piece"), F.col(p).alias("print"))
-        for n, p in enumerate(PRINTS) for j, pair in enumerate(combinations(range(k + 2), 2))
-    ]
-    long = classes.select("side", F.explode(F.array(*keys)).alias("key")).where(F.col("key.print").isNotNull()).select("side", "key.*").distinct()
-    t, e = (long.where(F.col("side") == s).select("slot", "piece", F.col("print").alias(f"print_{s}")) for s in "te")
-    close = (
-        t.join(e, ["slot", "piece"])
-        .where((F.levenshtein("print_t", "print_e", k) >= 0) & (_distance(F.col("print_t"), F.col("print_e")) <= bits))
-        .select((F.col("slot") / 64).cast("int").alias("kind"), "print_t", "print_e").distinct()
-    )
+    pairs_ = list(combinations(_bounds(k + 2), 2))
     prints = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(p).alias("print")) for n, p in enumerate(PRINTS)]))
     by_print = classes.select("side", "cls", prints.alias("x")).where(F.col("x.print").isNotNull()).select("side", "cls", "x.*")
+    # a print twice on one side is one row; its keys are two longs, so the shuffle holds numbers only
+    distinct = by_print.select("side", "kind", "print").distinct()
+    keys = F.explode(F.transform(F.array(*[_piece(F.col("print"), pr, j) for j, pr in enumerate(pairs_)]), lambda x: F.shiftleft(F.col("kind").cast("long"), 56).bitwiseOR(x)))
+    long = distinct.select("side", "print", keys.alias("key"))
+    t, e = (long.where(F.col("side") == s).select("key", F.col("print").alias(f"print_{s}")) for s in "te")
+    close = (
+        t.join(e, "key").where((_distance(F.col("print_t"), F.col("print_e")) <= bits) & (F.levenshtein(_text(F.col("print_t")), _text(F.col("print_e")), k) >= 0))
+        .select(F.shiftrightunsigned("key", 56).cast("int").alias("kind"), "print_t", "print_e").distinct()
+    )
     end = lambda s: by_print.where(F.col("side") == s).select("kind", F.col("print").alias(f"print_{s}"), F.col("cls").alias(f"cls_{s}"))
     cand = close.join(end("t"), ["kind", "print_t"]).join(end("e"), ["kind", "print_e"]).select("cls_t", "cls_e").distinct()
 
