@@ -70,7 +70,7 @@ def _piece(c: Column, pair: tuple[tuple[int, int], tuple[int, int]], slot: int)
     return F.lit(slot << 40).cast("long").bitwiseOR(F.shiftleft(cut(a, m), 20)).bitwiseOR(cut(b, n))
 
 
-def cross_split_pairs(images: DataFrame, k: int = 4, bits: int = 8) -> DataFrame:
+def cross_split_pairs(images: DataFrame, k: int = 5, bits: int = 10) -> DataFrame:
     """(image_id_a, image_id_b): one in train, the other in val or test, both the same picture."""
     side = split_name(F.col("split"))
     if not 1 <= k <= LENGTH - 2 or LENGTH // (k + 2) > 4:
