@@ -153,7 +153,7 @@ def _departs(name: str, now: dict, base: list[dict]) -> bool:
             hist = np.array([b[key] for b in base], float)
             tot = hist.sum(1, keepdims=True).clip(1)
             b0 = hist.sum(0) / tot.sum()
-            usual = max([np.abs(h / t - b0).sum() / 2 for h, t in zip(hist, tot)] or [0])
+            usual = (np.abs(hist / tot - b0).sum(1) / 2).max()
             noise = np.sqrt(b0 * (1 - b0)).sum() * np.sqrt(1 / m + 1 / tot.sum())  # 2.5 times the mean by chance
             if np.abs(a - b0).sum() / 2 > max(least, 1.8 * usual, noise):
                 return True
@@ -181,22 +181,26 @@ def _departs(name: str, now: dict, base: list[dict]) -> bool:
 
 
 def _history(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Breaks of one file and column. A lasting change is reported once and becomes the new usual."""
-    pdf = pdf.sort_values(["taken_at", "snapshot_id"])
-    out, usual, odd = [], [], []
-    for pos, now in enumerate(pdf.to_dict("records")):
-        now["pos"] = pos
-        name = now["column_name"]
-        if len(usual) < 1:
-            usual.append(now)
-        elif not _departs(name, now, usual):
-            usual.append(now)
-            odd = []
-        elif odd and not _departs(name, now, odd):
-            odd.append(now)  # the change lasts
-        else:
-            out.append((now["snapshot_id"], name))
-            odd = [now]
+    """Breaks of one file. A lasting change of a column is reported once and becomes the new usual."""
+    by: dict[str, list[dict]] = {}
+    for r in sorted(pdf.to_dict("records"), key=lambda r: (r["taken_at"], r["snapshot_id"])):
+        by.setdefault(r["column_name"], []).append(r)
+    out = []
+    for name, loads in by.items():
+        usual: list[dict] = []
+        odd: list[dict] = []
+        for pos, now in enumerate(loads):
+            now["pos"] = pos
+            if not usual:
+                usual.append(now)
+            elif not _departs(name, now, usual):
+                usual.append(now)
+                odd = []
+            elif odd and not _departs(name, now, odd):
+                odd.append(now)  # the change lasts
+            else:
+                out.append((now["snapshot_id"], name))
+                odd = [now]
     return pd.DataFrame(out, columns=["snapshot_id", "column_name"])
 
 
@@ -205,7 +209,7 @@ def breaks(profiles: DataFrame, duplicates: DataFrame, loads: DataFrame) -> Data
     at = loads.select("snapshot_id", "file_hash", "taken_at").dropDuplicates(["snapshot_id"])
     stars = duplicates.withColumn("column_name", F.lit("*"))
     both = profiles.unionByName(stars, allowMissingColumns=True).join(at, "snapshot_id")
-    return both.groupBy("file_hash", "column_name").applyInPandas(_history, "snapshot_id long, column_name string")
+    return both.groupBy("file_hash").applyInPandas(_history, "snapshot_id long, column_name string")
 
 
 def misreports(profiles: DataFrame, duplicates: DataFrame, loads: DataFrame, stored: DataFrame) -> DataFrame:
