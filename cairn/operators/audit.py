@@ -20,14 +20,15 @@ def group_leakage(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
 
 def inconsistent_labels(df: DataFrame, names: list[str], label: str) -> DataFrame:
     """(groups, rows, conflicting_groups, conflicting_rows): equal features with different labels."""
-    g = df.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("a"), F.max(label).alias("b"))
-    return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("conflicting_groups"), F.coalesce(F.sum(F.when(F.col("a") != F.col("b"), F.col("n"))), F.lit(0)).alias("conflicting_rows"))
+    g = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min(label).alias("_a"), F.max(label).alias("_b"))
+    clash = F.col("_a") != F.col("_b")
+    return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows"), F.count_if(clash).alias("conflicting_groups"), F.coalesce(F.sum(F.when(clash, F.col("_n"))), F.lit(0)).alias("conflicting_rows"))
 
 
 def k_anonymity(df: DataFrame, names: list[str], k: int = 5) -> DataFrame:
     """(groups, small_groups, small_rows, smallest)."""
-    g = df.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") < k).alias("small_groups"), F.coalesce(F.sum(F.when(F.col("n") < k, F.col("n"))), F.lit(0)).alias("small_rows"), F.min("n").alias("smallest"))
+    g, small = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), F.col("_n") < k
+    return g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(small).alias("small_groups"), F.coalesce(F.sum(F.when(small, F.col("_n"))), F.lit(0)).alias("small_rows"), F.min("_n").alias("smallest"))
 
 
 def preprocessing_leakage(df: DataFrame, name: str, train: Column) -> DataFrame:

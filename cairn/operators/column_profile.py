@@ -45,7 +45,7 @@ def _open(path: str):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def _count_chunk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,17 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "cairn-shared")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cairn-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder once and read again.
 
-    Unlike a local checkpoint the files outlive a lost executor.
+    Unlike a local checkpoint the files outlive a lost executor. They stay until ``clean`` is called, as
+    results are lazy and may read them at any time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes what ``cut`` wrote in this application; results that still read it become invalid."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -252,3 +252,62 @@ def test_fingerprint_ignores_order(spark):
     a, b = K.fingerprint(df).first(), K.fingerprint(df.orderBy(F.desc("name")).repartition(3)).first()
     assert a == b and K.fingerprint(df.limit(3)).first().content_hash != a.content_hash
     assert K.dna_similarity(K.dna(df), K.dna(df)) == 1.0
+
+
+def test_components(spark):
+    import random
+
+    from cairn.operators.graph import components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)] + [(500, k) for k in range(501, 560)] + [(700, 700)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges + [(None, 1)], "a long, b long"), "a", "b").collect()}
+    assert got == {x: find(x) for x in {n for e in edges for n in e}}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_row_pairs_match_brute_force(spark):
+    import random
+
+    from cairn.operators.graph import row_pairs
+
+    rng = random.Random(6)
+    cols = [f"c{i}" for i in range(6)]
+    make = lambda base, n: [(base + i, *[rng.randint(0, 3) if k else 1 for k in range(6)]) for i in range(n)]
+    te, tr = make(0, 40), make(1000, 60)
+    schema = "id long, " + ", ".join(f"{c} int" for c in cols)
+    first = lambda rows: {t: i for i, *t_ in reversed(rows) for t in [tuple(t_)]}
+    need = lambda a, b: (m := sum(x == y for x, y in zip(a, b))) / (12 - m) >= 0.5
+    want = {(i, j) for a, i in first(te).items() for b, j in first(tr).items() if need(a, b)}
+    got = row_pairs(spark.createDataFrame(te, schema), spark.createDataFrame(tr, schema), "id", cols, 0.5)
+    assert {(r.test_key, r.train_key) for r in got.collect()} == want
+
+
+def test_scores(spark):
+    from cairn.operators import scores as S
+
+    assert S.weighted({"size": 80.0, "quality": None}, S.READY) == 80.0 and S.weighted({"size": 80.0}, S.READY, True) == 50.0 and S.weighted({}, S.READY) == 0.0
+    n = {r.test: r for r in S.normality(nums(spark, [((i * 37) % 101) ** 3 for i in range(101)]), "x").collect()}
+    assert not n["skewness"].normal and not n["kolmogorov"].normal
+    assert S.normality(nums(spark, []), "x").count() == 0
+    assert [round(x, 6) for x in S.partial_autocorrelation([0.5, 0.25, 0.125])] == [0.5, 0, 0]
+
+
+def test_cut_and_clean(spark):
+    from cairn import session
+
+    df = session.cut(spark.range(5))
+    assert df.count() == 5 and session.cut(spark.range(0)).count() == 0
+    session.clean(spark)
+    assert session.cut(spark.range(3)).count() == 3
