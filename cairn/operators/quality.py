@@ -104,7 +104,7 @@ def overall(scores: dict[str, float | None]) -> tuple[float, str]:
 def target_candidates(df: DataFrame) -> DataFrame:
     """(column_name, score, task): how likely each column is the target, by place, name, cardinality and gaps."""
     names = df.columns
-    a = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.approx_count_distinct(value(df.schema, c), 0.01).alias("d"), F.count_if(value(df.schema, c).isNull()).alias("m")).alias(c) for c in names]).first()
+    a = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.approx_count_distinct(value(df.schema, c)).alias("d"), F.count_if(value(df.schema, c).isNull()).alias("m")).alias(c) for c in names]).first()
     nums, out = set(numeric_columns(df.schema)), []
     for i, c in enumerate(names):
         d, m, n = a[c]["d"], a[c]["m"], max(a["n"], 1)

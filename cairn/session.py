@@ -22,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
-        return set_dir
+        return set_dir.rstrip("/")
+    by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if by_call.isDefined():
+        return by_call.get().rstrip("/")
     return "file://" + os.path.join(tempfile.gettempdir(), "cairn-shared")
 
 

@@ -307,7 +307,9 @@ def test_scores(spark):
 def test_cut_and_clean(spark):
     from cairn import session
 
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = session.cut(spark.range(5))
+    assert df.inputFiles()[0].startswith(session.shared_dir(spark).replace("file:///", "file:///").rstrip("/"))
     assert df.count() == 5 and session.cut(spark.range(0)).count() == 0
     session.clean(spark)
     assert session.cut(spark.range(3)).count() == 3
