@@ -196,6 +196,37 @@ def local_outlier_factor(df: DataFrame, key: str, names: list[str], k: int = 10,
     return lof.crossJoin(F.broadcast(bound)).where("score >= b").select(key, "score")
 
 
+def density_noise(df: DataFrame, key: str, names: list[str], eps: float = 0.05, min_points: int = 5) -> DataFrame:
+    """(key): points that density clustering leaves out: no core point (``min_points`` within ``eps``, itself counted) in reach.
+
+    One or two columns, scaled to their ranges, on a grid whose cells are ``eps`` across the diagonal. In
+    a cell of enough points all are core, so only points of sparse cells (fewer than ``min_points`` each)
+    look around; no pairs are made within a crowded cell.
+    """
+    if not 1 <= len(names) <= 2:
+        raise ValueError("one or two columns")
+    lim = df.agg(*[F.struct(F.min(finite(df.schema, c)).alias("a"), F.max(finite(df.schema, c)).alias("b")).alias(f"r{i}") for i, c in enumerate(names)]).first()
+    xs = [(finite(df.schema, c) - F.lit(lim[f"r{i}"]["a"])) / max((lim[f"r{i}"]["b"] or 0) - (lim[f"r{i}"]["a"] or 0), 1e-12) for i, c in enumerate(names)]
+    side = eps / math.sqrt(len(names))
+    p = df.select(F.col(key).alias("k"), F.array(*xs).alias("x")).where(~F.exists("x", lambda e: e.isNull()))
+    p = p.withColumn("cell", F.transform("x", lambda e: F.floor(e / side).cast("int")))
+    cells = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    p = p.join(cells, "cell")
+    sparse = p.where(F.col("n") < min_points)
+    reach = [[]]
+    for _ in names:
+        reach = [r + [s] for r in reach for s in (-2, -1, 0, 1, 2)]
+    steps = F.array(*[F.array(*[F.lit(s) for s in r]) for r in reach])
+    ask = sparse.select("k", "x", F.col("cell").alias("c"), F.explode(steps).alias("s")).select("k", "x", F.zip_with("c", "s", lambda a, b: a + b).alias("cell"))
+    d2 = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    near = ask.join(p.select("cell", F.col("k").alias("o"), F.col("x").alias("y"), F.col("n").alias("on")), "cell").where(d2 <= eps * eps)
+    per = near.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max((F.col("on") >= min_points).cast("int")).alias("dense"))
+    core = per.where(F.col("c") >= min_points).select(F.col("k").alias("o"))
+    open_ = per.where((F.col("c") < min_points) & (F.col("dense") == 0)).select("k")
+    saved = near.where(F.col("on") < min_points).select("k", "o").join(core, "o", "left_semi").select("k").distinct()
+    return open_.join(saved, "k", "left_anti").select(F.col("k").alias(key))
+
+
 def choose(n: int, columns: int, skew: float, normal: bool) -> str:
     """The detector for a table, by its size and shape."""
     if n < 30:

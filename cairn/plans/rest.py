@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import association as A, audit as T, corpus as C, graph as G, quality as K, relational as B, scores as S, text as X
+from cairn.operators import association as A, audit as T, corpus as C, graph as G, outliers as U, quality as K, relational as B, scores as S, text as X
 from cairn.session import read
 
 Q, O = {}, {}
@@ -89,3 +89,7 @@ add("fai15_score", lambda s, d: s.createDataFrame([(S.weighted({"representation"
 add("rdy2_score", lambda s, d: s.createDataFrame([(S.weighted({"size": 90.0, "quality": 80.0, "balance": 70.0}, S.READY, True),)], "score double"), "SELECT 50.0::DOUBLE AS score")
 add("img2_diversity", lambda s, d: S.effective_rank(read(s, d, "embeddings"), "embedding"))
 add("img4_fingerprint", lambda s, d: K.fingerprint(read(s, d, "image_record").select("image_id", "sha256")))
+add("out13_density", lambda s, d: U.density_noise(read(s, d, "supplier"), "s_suppkey", ["s_nationkey", "s_acctbal"], 0.15, 4), """WITH r AS (SELECT MIN(s_nationkey) AS a0, MAX(s_nationkey) AS b0, MIN(s_acctbal) AS a1, MAX(s_acctbal) AS b1 FROM supplier),
+p AS (SELECT s_suppkey AS k, (s_nationkey - a0) / (b0 - a0) AS x, (s_acctbal - a1) / (b1 - a1) AS y FROM supplier, r),
+n AS (SELECT a.k AS k, b.k AS o FROM p a JOIN p b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.15 * 0.15), c AS (SELECT k FROM n GROUP BY k HAVING COUNT(*) >= 4)
+SELECT k AS s_suppkey FROM p WHERE k NOT IN (SELECT n.k FROM n JOIN c ON n.o = c.k)""")

@@ -313,3 +313,20 @@ def test_cut_and_clean(spark):
     assert df.count() == 5 and session.cut(spark.range(0)).count() == 0
     session.clean(spark)
     assert session.cut(spark.range(3)).count() == 3
+
+
+def test_density_noise_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    pts = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(150)] + [(200 + i, 3.0, 3.0) for i in range(60)] + [(500, 9.0, -9.0), (501, None, 1.0)]
+    good = [p for p in pts if p[1] is not None]
+    lo, hi = [min(p[j] for p in good) for j in (1, 2)], [max(p[j] for p in good) for j in (1, 2)]
+    z = {p[0]: [(p[j] - lo[j - 1]) / (hi[j - 1] - lo[j - 1]) for j in (1, 2)] for p in good}
+    near = {a: [b for b in z if math.dist(z[a], z[b]) <= 0.04] for a in z}
+    core = {a for a in z if len(near[a]) >= 5}
+    want = {a for a in z if not core & set(near[a])}
+    df = spark.createDataFrame(pts, "id long, a double, b double")
+    got = {r.id for r in U.density_noise(df, "id", ["a", "b"], 0.04, 5).collect()}
+    assert got == want and 500 in got and 200 not in got
+    assert U.density_noise(df.limit(0), "id", ["a", "b"]).count() == 0
