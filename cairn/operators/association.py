@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions import distributions as D
 from cairn.operators.profile import finite
+from cairn.operators.relational import running
 
 
 def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
@@ -27,8 +28,7 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _ranked(df: DataFrame, name: str) -> DataFrame:
     c = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"_{name}")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = F.sum("_n").over(Window.orderBy(f"_{name}").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return c.select(f"_{name}", (cum - (F.col("_n") - 1) / 2).alias(f"rank_{name}"))
+    return running(c, f"_{name}", ["_n"]).select(f"_{name}", (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(f"rank_{name}"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -135,8 +135,7 @@ def kruskal(df: DataFrame, group: str, name: str) -> DataFrame:
     """(h, groups, n, epsilon2): rank sums by group, corrected for ties."""
     x = df.select(F.col(group).alias("g"), finite(df.schema, name).alias("v")).dropna()
     c = x.groupBy("v").agg(F.count(F.lit(1)).alias("t"))
-    cum = F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = c.select(F.col("v").alias("_v"), (cum - (F.col("t") - 1) / 2).alias("r"))
+    ranks = running(c, "v", ["t"]).select(F.col("v").alias("_v"), (F.col("cum_t") - (F.col("t") - 1) / 2).alias("r"))
     ties = c.agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double").alias("ties"))
     per = x.join(ranks, F.col("v") == F.col("_v")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("rs"))
     s = per.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("q"), F.count(F.lit(1)).alias("groups")).crossJoin(ties)
@@ -175,8 +174,7 @@ def ks_two_sample(df: DataFrame, name: str, side: Column) -> DataFrame:
     """
     c = df.select(finite(df.schema, name).alias("v"), side.alias("s")).dropna().groupBy("v").agg(F.count_if("s").alias("a"), F.count_if(~F.col("s")).alias("b"))
     t = c.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = c.crossJoin(F.broadcast(t)).select("v", "ta", "tb", F.abs(F.sum("a").over(w) / F.col("ta") - F.sum("b").over(w) / F.col("tb")).alias("d"), F.lead("v").over(Window.orderBy("v")).alias("nv"))
+    x = running(c, "v", ["a", "b"]).crossJoin(F.broadcast(t)).select("v", "ta", "tb", F.abs(F.col("cum_a") / F.col("ta") - F.col("cum_b") / F.col("tb")).alias("d"), F.col("next_value").alias("nv"))
     return x.agg(F.max("d").alias("d"), F.sum(F.col("d") * (F.col("nv") - F.col("v"))).alias("w1"), F.max("ta").alias("n_a"), F.max("tb").alias("n_b"))
 
 

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.profile import finite, numeric_columns, text_columns, value
+from cairn.operators.relational import running
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def prepare_for_ml(df: DataFrame, order: str) -> DataFrame:
     texts = text_columns(df.schema)
     stats = d.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in nums], *[F.approx_count_distinct(c).alias(c) for c in texts]).first()
     for c in texts:
-        codes = d.select(F.col(c).alias("_v")).distinct().withColumn("_code", F.dense_rank().over(Window.orderBy("_v")) - 1)
+        codes = running(d.select(F.col(c).alias("_v")).distinct().withColumn("_one", F.lit(1)), "_v", ["_one"]).select("_v", (F.col("cum__one") - 1).cast("int").alias("_code"))
         d = d.join(codes, F.col(c).eqNullSafe(F.col("_v")), "left").drop(c, "_v").withColumnRenamed("_code", c)
     keep = [order, *[c for c in nums if stats[c]["s"]], *texts]
     z = lambda c: F.round((F.col(c) - stats[c]["m"]) / stats[c]["s"], 6).alias(c)

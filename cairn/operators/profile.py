@@ -129,9 +129,10 @@ def extended(df: DataFrame, name: str) -> DataFrame:
     v = df.select(finite(df.schema, name).alias("v")).where("v IS NOT NULL")
     # value counts first: ranks come from cumulative counts of distinct values
     c = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from cairn.operators.relational import running
+
     total = c.agg(F.sum("n").alias("t"), F.min("v").alias("least"))
-    c = c.withColumn("hi", F.sum("n").over(w)).crossJoin(F.broadcast(total)).withColumn("lo", F.col("hi") - F.col("n"))
+    c = running(c, "v", ["n"]).withColumnRenamed("cum_n", "hi").crossJoin(F.broadcast(total)).withColumn("lo", F.col("hi") - F.col("n"))
     cut_ = F.floor(F.col("t") * 0.1)
     kept = F.greatest(F.least(F.col("hi"), F.col("t") - cut_) - F.greatest(F.col("lo"), cut_), F.lit(0))
     five = F.floor(F.col("t") * 0.05)

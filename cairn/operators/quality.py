@@ -152,15 +152,14 @@ def regression_metrics(df: DataFrame, y: Column, p: Column) -> DataFrame:
 
 def binary_metrics(df: DataFrame, y: Column, score: Column, cut: float = 0.5) -> DataFrame:
     """(accuracy, precision_, recall, f1, mcc, auc, logloss); the area comes from score counts, not from sorted rows."""
-    from pyspark.sql import Window
+    from cairn.operators.relational import running
 
     x = df.select(y.cast("int").alias("y"), score.cast("double").alias("s")).dropna()
     hit = lambda a, b: F.count_if((F.col("y") == a) & ((F.col("s") >= cut) == F.lit(b))).cast("double")
     q = F.greatest(F.least(F.col("s"), F.lit(1 - 1e-15)), F.lit(1e-15))
     c = x.agg(hit(1, True).alias("tp"), hit(0, True).alias("fp"), hit(1, False).alias("fn"), hit(0, False).alias("tn"), F.avg(-F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))).alias("logloss"))
     g = x.groupBy("s").agg(F.sum("y").alias("p"), (F.count(F.lit(1)) - F.sum("y")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = g.withColumn("b", below).agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    auc = running(g, "s", ["n"]).withColumn("b", F.col("cum_n") - F.col("n")).agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     z = F.lit(0.0)
     div = lambda a, b: F.coalesce(a / F.nullif(b, z), z)

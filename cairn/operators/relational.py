@@ -98,11 +98,28 @@ def rolling(df: DataFrame, group: str, order: list[str], name: str, width: int,
     return out.where(F.col("_r") >= width).drop("_r")
 
 
+def running(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
+    """``df`` with ``cum_<c>`` of each summed column up to and including its row, and ``next_value`` of ``by``.
+
+    ``by`` is unique. The rows are range partitioned and written once; the totals of the partitions (as
+    many rows as partitions) give each partition its offset, so that no task orders the whole table.
+    """
+    from cairn.session import cut, parallelism
+
+    x = cut(df.repartitionByRange(parallelism(df.sparkSession), by).withColumn("_pid", F.spark_partition_id()))
+    w = Window.orderBy("_pid")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    total = x.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums], F.min(by).alias("_first"))
+    total = total.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums], F.lead("_first").over(w).alias("_after"))
+    own = Window.partitionBy("_pid").orderBy(by)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return x.join(F.broadcast(total), "_pid").select(*df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(upto)).alias(f"cum_{c}") for c in sums], F.coalesce(F.lead(by).over(own), "_after").alias("next_value"))
+
+
 def average_ranks(df: DataFrame, name: str) -> DataFrame:
     """(value, n, average_rank): ranks from cumulative value counts, ties averaged; distinct values only are ordered."""
     c = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    cum = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return c.withColumn("average_rank", cum - (F.col("n") - 1) / 2)
+    return running(c, "value", ["n"]).select("value", "n", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("average_rank"))
 
 
 def lagged_correlation(df: DataFrame, group: str, order: list[str], a: str, b: str, lags: list[int]) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions import distributions as D
 from cairn.operators.profile import finite
+from cairn.operators.relational import running
 
 
 def correlation_tests(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -63,12 +64,11 @@ def normality(df: DataFrame, name: str) -> DataFrame:
         z1, z2 = s["g1"] / math.sqrt(6 / n), s["g2"] / math.sqrt(24 / n)
         out += [("skewness", z1, 2 * (1 - D.normal_cdf(abs(z1)))), ("kurtosis", z2, 2 * (1 - D.normal_cdf(abs(z2)))), ("jarque_bera", z1 * z1 + z2 * z2, D.chi2_sf(z1 * z1 + z2 * z2, 2))]
         c = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-        cum = F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / n
         # the normal distribution function by its usual rational approximation, in the JVM
         z = (F.col("v") - s["m"]) / s["s"]
         t = 1 / (1 + 0.2316419 * F.abs(z))
         tail = F.exp(-z * z / 2) * 0.3989422804014327 * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-        d = c.withColumn("f", cum).select(F.greatest(F.abs(F.col("f") - F.when(z >= 0, 1 - tail).otherwise(tail)), F.abs(F.col("f") - F.col("k") / n - F.when(z >= 0, 1 - tail).otherwise(tail))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
+        d = running(c, "v", ["k"]).withColumn("f", F.col("cum_k") / n).select(F.greatest(F.abs(F.col("f") - F.when(z >= 0, 1 - tail).otherwise(tail)), F.abs(F.col("f") - F.col("k") / n - F.when(z >= 0, 1 - tail).otherwise(tail))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
         lam = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
         p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101)) if lam > 0.2 else 1.0
         out.append(("kolmogorov", d, min(max(p, 0.0), 1.0)))

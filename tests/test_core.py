@@ -330,3 +330,16 @@ def test_density_noise_matches_brute_force(spark):
     got = {r.id for r in U.density_noise(df, "id", ["a", "b"], 0.04, 5).collect()}
     assert got == want and 500 in got and 200 not in got
     assert U.density_noise(df.limit(0), "id", ["a", "b"]).count() == 0
+
+
+def test_running_sums(spark):
+    import random
+
+    vals = random.Random(3).sample(range(10_000), 500)
+    df = spark.createDataFrame([(v, v % 7) for v in vals], "v long, n long")
+    got = {r.v: (r.cum_n, r.next_value) for r in B.running(df, "v", ["n"]).collect()}
+    order, total, want = sorted(vals), 0, {}
+    for i, v in enumerate(order):
+        total += v % 7
+        want[v] = (total, order[i + 1] if i + 1 < len(order) else None)
+    assert got == want and B.running(df.limit(0), "v", ["n"]).count() == 0
