@@ -6,7 +6,8 @@ they are used; distinct candidates of text columns come from the dictionaries; o
 chunks are decoded. Each row group gives (load, column, value, count), which Spark sums, so the
 shuffle holds distinct values and no rows.
 
-The history of a file is compared load by load on some tens of numbers per column.
+The history of a file is compared load by load on some tens of numbers per column; formats and
+categories of a text column are compared value by value, with one count per distinct text and load.
 
 Defined results: missing means null or NaN here, stand-ins count as values. Repeated stored reports
 count each; null reports are no report. Loads whose file is unknown have no earlier loads. A load with
@@ -24,7 +25,6 @@ from cairn.functions.missing import STAND_INS, TEXT_STAND_INS, folded
 
 COLUMNS = ["age", "tenure_months", "monthly_charges", "contract", "support_calls", "churned"]
 TEXT = ["contract"]
-BUCKETS = 32
 COUNTS = "snapshot_id long, column_name string, text string, num double, missing boolean, n long"
 
 
@@ -98,7 +98,7 @@ def value_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def profile(counts: DataFrame) -> DataFrame:
-    """One row per load and column: n, nulls, unique_count, range, quantiles of the real values, format and category shares."""
+    """One row per load and column: n, nulls, unique_count, range, quantiles of the real values; format, category and count of each real text."""
     stand = F.lit(False)
     for c, vs in STAND_INS.items():
         stand = stand | ((F.col("column_name") == c) & F.col("num").isin([float(x) for x in vs]))
@@ -106,18 +106,18 @@ def profile(counts: DataFrame) -> DataFrame:
     n = F.col("n")
     real = ~F.col("missing") & ~F.col("stand")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    x = counts.withColumn("stand", stand).withColumn("shape", bucket(shape)).withColumn("cat", bucket(folded(F.col("text"))))
-    x = x.withColumn("x", F.when(real, F.col("num")))
-    share = lambda key: F.array(*[F.sum(F.when(real & F.col("text").isNotNull() & (F.col(key) == i), n).otherwise(0)) for i in range(BUCKETS)])
-    return x.groupBy("snapshot_id", "column_name").agg(
+    x = counts.withColumn("stand", stand).withColumn("x", F.when(real, F.col("num")))
+    texts = F.collect_list(F.when(real & F.col("text").isNotNull(), F.struct(shape.alias("shape"), folded(F.col("text")).alias("cat"), n.alias("n"))))
+    p = x.groupBy("snapshot_id", "column_name").agg(
         F.sum(n).alias("n"), F.sum(F.when(F.col("missing"), n).otherwise(0)).alias("nulls"),
         F.sum(F.when(real, n).otherwise(0)).alias("n_real"), F.sum(F.when(~F.col("missing"), 1).otherwise(0)).alias("unique_count"),
         F.sum(F.when(real, 1).otherwise(0)).alias("unique_real"),
         F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.expr("percentile(x, array(0.1, 0.25, 0.5, 0.75, 0.9), n)").alias("q"), (F.sum(F.col("x") * n) / F.sum(F.when(F.col("x").isNotNull(), n))).alias("mean"),
-        share("shape").alias("shapes"), share("cat").alias("cats"),
+        texts.alias("texts"),
     )
+    part = lambda key: F.transform("texts", lambda t: t[key])
+    return p.withColumns({"shapes": part("shape"), "cats": part("cat"), "counts": part("n")}).drop("texts")
 
 
 def whole_rows(churn: DataFrame) -> DataFrame:
@@ -180,6 +180,18 @@ def _departs(name: str, now: dict, base: list[dict]) -> bool:
     return wide > 0 and (now["hi"] > top + 4 * wide or now["lo"] < min(los) - 4 * wide)
 
 
+def _aligned(loads: list[dict]) -> None:
+    """Formats and categories of a text column as counts over one list of values for all loads, each value by itself."""
+    import numpy as np
+
+    for key in ("shapes", "cats"):
+        place = {v: i for i, v in enumerate(dict.fromkeys(v for r in loads for v in r[key]))}
+        for r in loads:
+            counts = np.zeros(len(place))
+            np.add.at(counts, [place[v] for v in r[key]], r["counts"])
+            r[key] = counts
+
+
 def _history(pdf: pd.DataFrame) -> pd.DataFrame:
     """Breaks of one file. A lasting change of a column is reported once and becomes the new usual."""
     by: dict[str, list[dict]] = {}
@@ -187,6 +199,8 @@ def _history(pdf: pd.DataFrame) -> pd.DataFrame:
         by.setdefault(r["column_name"], []).append(r)
     out = []
     for name, loads in by.items():
+        if name in TEXT:
+            _aligned(loads)
         usual: list[dict] = []
         odd: list[dict] = []
         for pos, now in enumerate(loads):

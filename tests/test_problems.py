@@ -98,3 +98,12 @@ def test_history_reports_a_lasting_change_once():
 @pytest.mark.parametrize("bad", [-1.0, 0.0, 999.0])
 def test_age_stand_ins(spark, bad):
     assert fill.missing_cells(churn(spark, [(1, 1, 1, bad, 1, 1.0, "monthly")])).count() == 1
+
+
+def test_categories_of_one_shape_are_told_apart(spark, tmp_path):
+    # "monthly" and "trial" shared one of the 32 hash buckets that were compared
+    rows = [(100 * s + i, s, i, 30.0, 1, 1.0, "trial" if s == 4 else "monthly") for s in range(1, 5) for i in range(40)]
+    path = str(tmp_path / "demo_churn.parquet")
+    churn(spark, rows).write.parquet(path)
+    got = cp.breaks(cp.profile(cp.value_counts(spark, path)), cp.whole_rows(churn(spark, rows)), loads(spark, 4)).collect()
+    assert [r.snapshot_id for r in got if r.column_name == "contract"] == [4]
