@@ -27,18 +27,23 @@ def simhash(tokens: Column) -> Column:
 def simhash_pairs(df: DataFrame, key: str, name: str, distance: int = 3) -> DataFrame:
     """(id_a, id_b, distance) of different word sequences whose fingerprints differ in at most ``distance`` bits.
 
-    With distance + 1 bands at least one is equal, so only equal bands meet. Fingerprints are grouped
-    first: documents of one fingerprint are one row, named by the first.
+    Texts of one word sequence are one row, named by the first. Fingerprints are paired once each: with
+    distance + 1 bands at least one is equal, so only equal bands meet. Every sequence of either
+    fingerprint takes part in a pair, and sequences that share a fingerprint are pairs of distance 0.
     """
-    w = cut(df.where(F.col(name).isNotNull()).select(F.col(key).alias("id"), words(F.col(name)).alias("w")).where(F.size("w") > 0))
-    fp = w.select("id", simhash(F.col("w")).alias("h")).groupBy("h").agg(F.min("id").alias("id"))
+    w = df.where(F.col(name).isNotNull()).select(F.col(key).alias("id"), words(F.col(name)).alias("w")).where(F.size("w") > 0)
+    seq = cut(w.groupBy("w").agg(F.min("id").alias("id")).select("id", simhash(F.col("w")).alias("h")))
     n = distance + 1
     step = 64 // n
     band = lambda i: F.call_function("shiftrightunsigned", F.col("h"), F.lit(i * step)).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
-    x = cut(fp).select("id", "h", F.posexplode(F.array(*[band(i) for i in range(n)])).alias("b", "v"))
-    a, b = x.select("b", "v", F.col("id").alias("id_a"), F.col("h").alias("ha")), x.select("b", "v", F.col("id").alias("id_b"), F.col("h").alias("hb"))
+    x = seq.select("h").distinct().select("h", F.posexplode(F.array(*[band(i) for i in range(n)])).alias("b", "v"))
+    a, b = x.select("b", "v", F.col("h").alias("ha")), x.select("b", "v", F.col("h").alias("hb"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, ["b", "v"]).where((F.col("id_a") < F.col("id_b")) & (d <= distance)).groupBy("id_a", "id_b").agg(F.min(d).alias("distance"))
+    near = a.join(b, ["b", "v"]).where((F.col("ha") < F.col("hb")) & (d <= distance)).select("ha", "hb", d.alias("distance")).distinct()
+    ia, ib = seq.select(F.col("id").alias("ia"), F.col("h").alias("ha")), seq.select(F.col("id").alias("ib"), F.col("h").alias("hb"))
+    apart = near.join(ia, "ha").join(ib, "hb").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "distance")
+    same = ia.join(ib, F.col("ha") == F.col("hb")).where("ia < ib").select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.lit(0).alias("distance"))
+    return apart.union(same)
 
 
 def cosine_pairs(df: DataFrame, key: str, name: str, limit: float = 0.85) -> DataFrame:

@@ -343,3 +343,9 @@ def test_running_sums(spark):
         total += v % 7
         want[v] = (total, order[i + 1] if i + 1 < len(order) else None)
     assert got == want and B.running(df.limit(0), "v", ["n"]).count() == 0
+
+
+def test_simhash_pairs_of_one_fingerprint(spark):
+    rows = [(i, " ".join(f"w{k}" for k in (range(30) if i % 2 else reversed(range(30))))) for i in range(4)] + [(9, " ".join(f"w{k}" for k in range(40, 60)))]
+    df = spark.createDataFrame(rows, "id long, t string")  # the order of words doesn't change a fingerprint
+    assert [tuple(r) for r in corpus.simhash_pairs(df, "id", "t").collect()] == [(0, 1, 0)]
