@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions import distributions as D
@@ -104,16 +106,36 @@ def split_shift(df: DataFrame, names: list[str], side) -> DataFrame:
     return out
 
 
-def effective_rank(df: DataFrame, name: str, points: int = 500) -> DataFrame:
-    """(points, diversity): exponential of the entropy of the kernel's eigenvalues over at most ``points`` vectors (its definition needs the whole kernel)."""
-    rows = df.where(F.col(name).isNotNull()).orderBy(F.xxhash64(name)).limit(points).select(name).collect()
-    x = np.array([list(map(float, r[0])) for r in rows]) if rows else np.zeros((0, 1))
-    if not len(x):
-        return df.sparkSession.createDataFrame([(0, 0.0)], "points int, diversity double")
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    w = np.linalg.eigvalsh(x @ x.T / len(x))
+def effective_rank(df: DataFrame, name: str) -> DataFrame:
+    """(points, diversity): exponential of the entropy of the kernel's eigenvalues over all vectors.
+
+    The kernel X X' / n has the nonzero eigenvalues of X' X / n, the second moments of the normalised
+    vectors, which one aggregation gives; the driver sees columns squared numbers.
+    """
+    vectors = df.where(F.col(name).isNotNull()).select(F.col(name).cast("array<double>").alias("v"))
+    got = vectors.mapInPandas(_moments, "i int, j int, m double, n long").groupBy("i", "j").agg(F.sum("m").alias("m"), F.sum("n").alias("n")).collect()
+    if not got:
+        return df.sparkSession.createDataFrame([(0, 0.0)], "points long, diversity double")
+    size, n = 1 + max(r.i for r in got), max(r.n for r in got)
+    a = np.zeros((size, size))
+    for r in got:
+        a[r.i, r.j] = a[r.j, r.i] = r.m / n
+    w = np.linalg.eigvalsh(a)
     w = w[w > 1e-12]
-    return df.sparkSession.createDataFrame([(len(x), float(np.exp(-(w * np.log(w)).sum())))], "points int, diversity double")
+    return df.sparkSession.createDataFrame([(n, float(np.exp(-(w * np.log(w)).sum())))], "points long, diversity double")
+
+
+def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Second moments (upper triangle) of the normalised vectors of one partition, and their number."""
+    m, n = None, 0
+    for pdf in batches:
+        if len(pdf):
+            x = np.stack(pdf["v"].to_numpy())
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            m, n = x.T @ x if m is None else m + x.T @ x, n + len(x)
+    if m is not None:
+        i, j = np.triu_indices(len(m))
+        yield pd.DataFrame({"i": i, "j": j, "m": m[i, j], "n": n})
 
 
 def weighted(scores: dict[str, float | None], weights: dict[str, float], blocking: bool = False) -> float:

@@ -349,3 +349,18 @@ def test_simhash_pairs_of_one_fingerprint(spark):
     rows = [(i, " ".join(f"w{k}" for k in (range(30) if i % 2 else reversed(range(30))))) for i in range(4)] + [(9, " ".join(f"w{k}" for k in range(40, 60)))]
     df = spark.createDataFrame(rows, "id long, t string")  # the order of words doesn't change a fingerprint
     assert [tuple(r) for r in corpus.simhash_pairs(df, "id", "t").collect()] == [(0, 1, 0)]
+
+
+def test_effective_rank_takes_all_rows(spark):
+    import numpy as np
+
+    from cairn.operators import scores
+
+    x = np.random.default_rng(3).normal(size=(700, 6))
+    df = spark.createDataFrame([([float(e) for e in r],) for r in x] + [(None,)], "v array<double>")
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    w = np.linalg.eigvalsh(n @ n.T / len(n))
+    w = w[w > 1e-12]
+    got = scores.effective_rank(df, "v").first()
+    assert got.points == 700 and got.diversity == pytest.approx(float(np.exp(-(w * np.log(w)).sum())), rel=1e-9)
+    assert scores.effective_rank(df.limit(0), "v").first().points == 0
