@@ -364,3 +364,16 @@ def test_effective_rank_takes_all_rows(spark):
     got = scores.effective_rank(df, "v").first()
     assert got.points == 700 and got.diversity == pytest.approx(float(np.exp(-(w * np.log(w)).sum())), rel=1e-9)
     assert scores.effective_rank(df.limit(0), "v").first().points == 0
+
+
+def test_mean_discrepancy_takes_all_rows(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(900, 3))
+    x[600::2] += 2.0  # drift beyond the first 200 of a side
+    df = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)] + [(5000, None)], "k long, v array<double>")
+    a, b = x[::2], x[1::2]
+    mean = lambda p, q: np.exp(-0.05 * ((p[:, None] - q[None]) ** 2).sum(2)).mean()
+    got = R.mean_discrepancy(df, "k", "v", F.col("k") % 2 == 0).first().mmd2
+    assert got == pytest.approx(mean(a, a) + mean(b, b) - 2 * mean(a, b), rel=1e-9)
+    assert R.mean_discrepancy(df, "k", "v", F.col("k") >= 0).first().mmd2 is None
