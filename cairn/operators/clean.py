@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.profile import finite, numeric_columns, text_columns, value
 from cairn.operators.relational import running
+from cairn.session import cut
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -86,33 +87,64 @@ def missing_pattern(df: DataFrame, names: list[str]) -> DataFrame:
     return df.groupBy(mask.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def knn_impute(df: DataFrame, key: str, name: str, by: list[str], k: int = 5, cells: int = 24) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, name: str, by: list[str], k: int = 5) -> DataFrame:
     """(key, imputed) for rows without ``name``: the mean over the k nearest rows that have it.
 
-    Rows are scaled by the columns' ranges and laid on a grid; a row meets the donors of its own and the
-    neighbouring cells only (an equi-join), nearest first, ties to the smaller key. Rows whose
-    neighbourhood has fewer than k donors take the mean over those it has, else the column's mean.
+    Rows are scaled by the columns' ranges; nearest first, ties to the smaller key. Fewer than k donors
+    in the whole table are all used, and without any the result is null.
     """
-    lim = df.agg(*[F.min(finite(df.schema, c)).alias(f"a{i}") for i, c in enumerate(by)], *[F.max(finite(df.schema, c)).alias(f"b{i}") for i, c in enumerate(by)], F.avg(finite(df.schema, name)).alias("_mean")).first()
+    lim = df.agg(*[F.min(finite(df.schema, c)).alias(f"a{i}") for i, c in enumerate(by)], *[F.max(finite(df.schema, c)).alias(f"b{i}") for i, c in enumerate(by)]).first()
     scaled = [F.coalesce((finite(df.schema, c) - (lim[f"a{i}"] or 0)) / max((lim[f"b{i}"] or 0) - (lim[f"a{i}"] or 0), 1e-12), F.lit(0.5)) for i, c in enumerate(by)]
-    base = df.select(F.col(key).alias("k"), finite(df.schema, name).alias("y"), F.array(*scaled).alias("x"))
-    cell = [F.floor(F.col("x")[i] * cells).cast("int") for i in range(min(2, len(by)))]
-    donors = base.where("y IS NOT NULL").select(F.col("k").alias("dk"), F.col("y").alias("dy"), F.col("x").alias("dx"), F.array(*cell).alias("cell"))
-    near = cell
-    steps = F.array(*[F.array(*[F.lit(s) for s in c]) for c in _steps(len(near))])
-    ask = base.where("y IS NULL").select("k", "x", F.array(*near).alias("c"), F.explode(steps).alias("s"))
-    ask = ask.select("k", "x", F.zip_with("c", "s", lambda a, b: a + b).alias("cell"))
-    d = F.aggregate(F.zip_with("x", "dx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    r = ask.join(donors, "cell").select("k", "dk", "dy", d.alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("d", "dk"))).where(F.col("r") <= k)
-    got = r.groupBy("k").agg(F.avg("dy").alias("v"))
-    return base.where("y IS NULL").join(got, "k", "left").select(F.col("k").alias(key), F.coalesce("v", F.lit(lim["_mean"])).alias("imputed"))
-
-
-def _steps(n: int) -> list[list[int]]:
-    out = [[]]
-    for _ in range(n):
-        out = [o + [s] for o in out for s in (-1, 0, 1)]
-    return out
+    base = df.select(F.col(key).alias("k"), finite(df.schema, name).alias("v"), F.array(*scaled).alias("x"))
+    near = nearest_rows(base.where("v IS NULL").select("k", "x"), base.where("v IS NOT NULL").select(F.col("k").alias("o"), F.col("x").alias("y"), F.col("v").alias("dv")), k)
+    got = near.groupBy("k").agg(F.avg("dv").alias("v"))
+    return base.where("v IS NULL").select("k").join(got, "k", "left").select(F.col("k").alias(key), F.col("v").alias("imputed"))
+
+
+def nearest_rows(ask: DataFrame, donors: DataFrame, k: int, itself: bool = False) -> DataFrame:
+    """(k, o, d, ...): exactly the ``k`` nearest ``donors`` (o, y, ...) of each of ``ask`` (k, x), ties to the smaller o.
+
+    ``x`` and ``y`` are arrays scaled to 0..1; with ``itself`` a row is no neighbour of its own key. Of
+    equal donors only the first can be among the nearest. The unit square of the first two columns is
+    halved again and again; a row starts in its smallest cell with enough donors. The k-th distance in
+    there bounds the true one, and a second join reads all cells that this radius touches.
+    """
+    least = k + itself
+    same = Window.partitionBy("y").orderBy("o")
+    donors = cut(donors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= least).drop("r"))
+    total = donors.count()
+    depth = min(24, total.bit_length() + 4)
+    extra = [c for c in donors.columns if c not in ("o", "y")]
+
+    def place(v: Column, level: Column) -> Column:
+        side = F.pow(F.lit(2.0), level)
+        return F.greatest(F.least(F.floor(v * side), side.cast("long") - 1), F.lit(0).cast("long"))
+
+    def cell(name: str) -> Column:
+        return F.transform(F.slice(name, 1, 2), lambda e: place(e, F.col("l")))
+
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("l")
+    laid = donors.select("*", levels).withColumn("cell", cell("y"))
+    full = laid.groupBy("l", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(least, total)).select("l", "cell")
+    own = ask.select("k", "x", levels).withColumn("cell", cell("x")).join(full, ["l", "cell"]).groupBy("k", "x").agg(F.max("l").alias("l"))
+    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    apart = F.col("k") != F.col("o") if itself else F.lit(True)
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("d", "o"))
+
+    def meet(start: DataFrame) -> DataFrame:
+        start = cut(start)
+        used = [r.l for r in start.select("l").distinct().collect()]  # at most depth + 1
+        return start.join(laid.where(F.col("l").isin(used)), ["l", "cell"]).where(apart).withColumn("d", d)
+
+    first = meet(own.withColumn("cell", cell("x"))).select("k", "x", "l", "o", "d").withColumn("r", rank).where(F.col("r") <= k)
+    reach = first.groupBy("k", "x", "l").agg(F.max("d").alias("u"))
+    fits = F.when(F.col("u") > 0, F.floor(-F.log2(F.when(F.col("u") > 0, F.col("u"))))).otherwise(F.col("l"))
+    reach = reach.withColumn("l", F.greatest(F.least(F.col("l"), fits), F.lit(0)).cast("int"))  # cells at least as wide as the radius
+    wide = F.col("u") * (1 + 1e-9) + 1e-15  # rounding
+    sides = F.transform(F.slice("x", 1, 2), lambda e: F.sequence(place(e - wide, F.col("l")), place(e + wide, F.col("l"))))
+    cells = F.aggregate(sides, F.array(F.array().cast("array<bigint>")), lambda acc, s: F.flatten(F.transform(acc, lambda c: F.transform(s, lambda e: F.concat(c, F.array(e))))))
+    near = meet(reach.withColumn("cell", F.explode(cells))).where(F.col("d") <= F.col("u"))
+    return near.select("k", "o", "d", *extra).withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
 def chained_impute(df: DataFrame, names: list[str], rounds: int = 3) -> DataFrame:

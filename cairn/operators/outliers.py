@@ -175,19 +175,15 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = 50,
     return scored.crossJoin(F.broadcast(bound)).where("score >= b").select(key, "score")
 
 
-def local_outlier_factor(df: DataFrame, key: str, names: list[str], k: int = 10, cells: int = 16, contamination: float = 0.05) -> DataFrame:
-    """(key, score): local outlier factor over neighbours found on a grid (own and adjacent cells of two columns)."""
+def local_outlier_factor(df: DataFrame, key: str, names: list[str], k: int = 10, contamination: float = 0.05) -> DataFrame:
+    """(key, score): local outlier factor over the exact nearest neighbours, columns scaled to their ranges."""
+    from cairn.operators.clean import nearest_rows
+    from cairn.session import cut
+
     lim = df.agg(*[F.struct(F.min(finite(df.schema, c)).alias("a"), F.max(finite(df.schema, c)).alias("b")).alias(f"r{i}") for i, c in enumerate(names)]).first()
-    xs = [((finite(df.schema, c) - lim[f"r{i}"]["a"]) / max(lim[f"r{i}"]["b"] - lim[f"r{i}"]["a"], 1e-12)) for i, c in enumerate(names)]
+    xs = [((finite(df.schema, c) - F.lit(lim[f"r{i}"]["a"])) / max((lim[f"r{i}"]["b"] or 0) - (lim[f"r{i}"]["a"] or 0), 1e-12)) for i, c in enumerate(names)]
     p = df.select(F.col(key).alias("k"), F.array(*xs).alias("x")).where(~F.exists("x", lambda e: e.isNull()))
-    cell = [F.floor(F.col("x")[i] * cells).cast("int") for i in range(min(2, len(names)))]
-    from cairn.operators.clean import _steps
-
-    steps = F.array(*[F.array(*[F.lit(s) for s in st]) for st in _steps(len(cell))])
-    ask = p.select("k", "x", F.array(*cell).alias("c"), F.explode(steps).alias("s")).select("k", "x", F.zip_with("c", "s", lambda a, b: a + b).alias("cell"))
-    don = p.select(F.col("k").alias("o"), F.col("x").alias("y"), F.array(*cell).alias("cell"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    nb = ask.join(don, "cell").where("k <> o").select("k", "o", d.alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("d", "o"))).where(F.col("r") <= k)
+    nb = cut(nearest_rows(p, p.select(F.col("k").alias("o"), F.col("x").alias("y")), k, itself=True))
     kd = nb.groupBy("k").agg(F.max("d").alias("kd"))
     reach = nb.join(kd.select(F.col("k").alias("o"), F.col("kd").alias("okd")), "o").select("k", "o", F.greatest("d", "okd").alias("rd"))
     lrd = reach.groupBy("k").agg((1 / (F.avg("rd") + 1e-12)).alias("lrd"))

@@ -351,6 +351,19 @@ def test_simhash_pairs_of_one_fingerprint(spark):
     assert [tuple(r) for r in corpus.simhash_pairs(df, "id", "t").collect()] == [(0, 1, 0)]
 
 
+def test_mean_discrepancy_takes_all_rows(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(900, 3))
+    x[600::2] += 2.0  # drift beyond the first 200 of a side
+    df = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)] + [(5000, None)], "k long, v array<double>")
+    a, b = x[::2], x[1::2]
+    mean = lambda p, q: np.exp(-0.05 * ((p[:, None] - q[None]) ** 2).sum(2)).mean()
+    got = R.mean_discrepancy(df, "k", "v", F.col("k") % 2 == 0).first().mmd2
+    assert got == pytest.approx(mean(a, a) + mean(b, b) - 2 * mean(a, b), rel=1e-9)
+    assert R.mean_discrepancy(df, "k", "v", F.col("k") >= 0).first().mmd2 is None
+
+
 def test_effective_rank_takes_all_rows(spark):
     import numpy as np
 
@@ -366,14 +379,27 @@ def test_effective_rank_takes_all_rows(spark):
     assert scores.effective_rank(df.limit(0), "v").first().points == 0
 
 
-def test_mean_discrepancy_takes_all_rows(spark):
+def test_nearest_rows_are_exact_on_skewed_data(spark):
     import numpy as np
 
-    x = np.random.default_rng(2).normal(size=(900, 3))
-    x[600::2] += 2.0  # drift beyond the first 200 of a side
-    df = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)] + [(5000, None)], "k long, v array<double>")
-    a, b = x[::2], x[1::2]
-    mean = lambda p, q: np.exp(-0.05 * ((p[:, None] - q[None]) ** 2).sum(2)).mean()
-    got = R.mean_discrepancy(df, "k", "v", F.col("k") % 2 == 0).first().mmd2
-    assert got == pytest.approx(mean(a, a) + mean(b, b) - 2 * mean(a, b), rel=1e-9)
-    assert R.mean_discrepancy(df, "k", "v", F.col("k") >= 0).first().mmd2 is None
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.normal(size=(150, 3)) * 1e-4, g.integers(0, 3, size=(60, 3)) * 0.01, [[1.0, 1.0, 1.0], [0.3, 0.9, 0.2]]])
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    df = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)], "k long, x array<double>")
+    for dims in (1, 2, 3):
+        p = df.select("k", F.slice("x", 1, dims).alias("x"))
+        near = C.nearest_rows(p, p.select(F.col("k").alias("o"), F.col("x").alias("y")), 5, itself=True)
+        got = sorted((r.k, r.d, r.o) for r in near.collect())
+        want = []
+        for i in range(len(x)):
+            d = [(float(np.sqrt(sum((x[i, c] - x[j, c]) ** 2 for c in range(dims)))), j) for j in range(len(x)) if j != i]
+            want += [(i, *e) for e in sorted(d)[:5]]
+        assert [(k, o) for k, _, o in got] == [(k, o) for k, _, o in want]
+
+
+def test_outlier_factor_keeps_the_isolated_point(spark):
+    rows = [(i, float(i % 10), float(i % 7)) for i in range(100)] + [(1000, 500.0, 500.0)]
+    out = U.local_outlier_factor(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"]).orderBy(F.desc("score")).first()
+    assert out.id == 1000
+    few = spark.createDataFrame([(1, 5.0, 0.0), (2, None, 0.9), (3, 7.0, 0.05)], "id long, a double, b double")
+    assert C.knn_impute(few, "id", "a", ["b"], k=1).first().imputed == 7.0
