@@ -31,7 +31,7 @@ class Engine:
     def _correlations(df: DataFrame) -> DataFrame:
         from cairn.operators.association import pearson_pairs
 
-        return pearson_pairs(df, profile.numeric_columns(df.schema)[:15])
+        return pearson_pairs(df, profile.numeric_columns(df.schema))
 
     @staticmethod
     def _imbalance(df: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 Method: the footers give, per row group, exact null counts and extrema. Where they settle a column
 (no null in the group; one value only, so that minimum and maximum coincide; a group of one load)
-they are used; distinct candidates of text columns come from the dictionaries; only the remaining
-chunks are decoded. Each row group gives (load, column, value, count), which Spark sums, so the
-shuffle holds distinct values and no rows.
+they are used. Footers of floats hide NaN and those of texts may be cut, so there the dictionary page is
+read alone: a wholly dictionary-coded chunk has no other values, and one entry without nulls settles it.
+Only the remaining chunks are decoded (where row groups mix loads that is all of them, as a count per
+load needs the rows). Each row group gives (load, column, value, count), which Spark sums, so the shuffle
+holds distinct values and no rows.
 
 The history of a file is compared load by load on some tens of numbers per column; formats and
 categories of a text column are compared value by value, with one count per distinct text and load.
 
 Defined results: missing means null or NaN here, stand-ins count as values. Repeated stored reports
 count each; null reports are no report. Loads whose file is unknown have no earlier loads. A load with
-fewer than two earlier loads has no history to depart from. Empty tables give empty results.
+fewer than two earlier loads has no history to depart from, and a file's first two are its first usual. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,15 +41,84 @@ def _chunks(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _open(path: str):
+    """The file system of a path as Spark names files: local ones as encoded URIs, others by their scheme."""
+    from urllib.parse import unquote
+
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
     if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+        return fs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+def _varint(b: bytes, at: int) -> tuple[int, int]:
+    out = shift = 0
+    while True:
+        out |= (b[at] & 0x7F) << shift
+        shift += 7
+        at += 1
+        if b[at - 1] < 0x80:
+            return out, at
+
+
+def _header(b: bytes, at: int = 0) -> tuple[dict, int]:
+    """A page header in the compact protocol: numbers by field id, inner structures as further maps."""
+    out, field = {}, 0
+    while b[at]:
+        step, kind = b[at] >> 4, b[at] & 15
+        at += 1
+        if step:
+            field += step
+        else:
+            n, at = _varint(b, at)
+            field = (n >> 1) ^ -(n & 1)
+        if kind in (1, 2):
+            out[field] = kind == 1
+        elif kind in (4, 5, 6):
+            n, at = _varint(b, at)
+            out[field] = (n >> 1) ^ -(n & 1)
+        elif kind == 8:  # binary, as in statistics
+            n, at = _varint(b, at)
+            out[field], at = b[at : at + n], at + n
+        elif kind == 12:
+            out[field], at = _header(b, at)
+        else:
+            raise ValueError(f"unexpected kind {kind} in a page header")
+    return out, at + 1
+
+
+def dictionary(source, chunk) -> list | None:
+    """The distinct values of a column chunk by its dictionary page alone; None where that page doesn't tell all.
+
+    ``source`` is an open file, ``chunk`` the chunk's metadata. No data page is read.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    at, kind = chunk.dictionary_page_offset, chunk.physical_type
+    plain = {"DOUBLE": "<f8", "FLOAT": "<f4", "INT64": "<i8", "INT32": "<i4"}
+    if not chunk.has_dictionary_page or at is None or (kind not in plain and kind != "BYTE_ARRAY"):
+        return None
+    source.seek(at)
+    raw = source.read(chunk.data_page_offset - at)
+    h, body = _header(raw)
+    if 7 not in h:
+        return None
+    page = raw[body : body + h[3]]
+    if chunk.compression != "UNCOMPRESSED":
+        page = pa.decompress(page, decompressed_size=h[2], codec=chunk.compression.lower(), asbytes=True)
+    if kind in plain:
+        return np.frombuffer(page, plain[kind], count=h[7][1]).tolist()
+    out, i = [], 0
+    for _ in range(h[7][1]):
+        n = int.from_bytes(page[i : i + 4], "little")
+        out.append(page[i + 4 : i + 4 + n].decode("utf-8", "replace"))
+        i += 4 + n
+    return out
+
+
 def _count_chunk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -70,15 +141,27 @@ def _count_chunk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             f = pq.ParquetFile(p, filesystem=fs, read_dictionary=TEXT)
             meta = f.metadata.row_group(group)
             stats = {meta.column(i).path_in_schema: meta.column(i).statistics for i in range(meta.num_columns)}
-            one = lambda c: (s := stats.get(c)) is not None and s.has_min_max and s.has_null_count and s.null_count == 0 and s.min == s.max and s.min == s.min
+            where = {meta.column(i).path_in_schema: i for i in range(meta.num_columns)}
+            full = lambda c: (s := stats.get(c)) is not None and s.has_null_count and s.null_count == 0
+            one = lambda c: full(c) and (s := stats[c]).has_min_max and s.min == s.max and s.min == s.min
+
+            def single(c: str) -> list:
+                """The only value of a chunk without nulls, by footer or dictionary; empty where there are more."""
+                if not one(c) or (c not in TEXT and not isinstance(stats[c].min, float)):
+                    return [stats[c].min] if one(c) else []
+                with fs.open_input_file(p) as source:
+                    found = dictionary(source, meta.column(where[c])) or []
+                return found if len(found) == 1 else []
+
             loads = None if one("snapshot_id") else f.read_row_group(group, columns=["snapshot_id"])["snapshot_id"]
             for c in COLUMNS:
                 s = stats.get(c)
                 if loads is None and s is not None and s.has_null_count and s.null_count == meta.num_rows:
                     yield pd.DataFrame([(stats["snapshot_id"].min, c, None, None, True, meta.num_rows)], columns=["snapshot_id", "column_name", "text", "num", "missing", "n"])
                     continue
-                if loads is None and one(c) and c not in TEXT and not isinstance(s.min, float):  # footers of floats hide NaN
-                    yield pd.DataFrame([(stats["snapshot_id"].min, c, None, float(s.min), False, meta.num_rows)], columns=["snapshot_id", "column_name", "text", "num", "missing", "n"])
+                if loads is None and (known := single(c)):
+                    lost = known[0] != known[0]
+                    yield pd.DataFrame([(stats["snapshot_id"].min, c, known[0] if c in TEXT else None, None if c in TEXT or lost else float(known[0]), lost, meta.num_rows)], columns=["snapshot_id", "column_name", "text", "num", "missing", "n"])
                     continue
                 values = f.read_row_group(group, columns=[c])[c]
                 load = loads if loads is not None else pa.chunked_array([pa.array([stats["snapshot_id"].min] * meta.num_rows)])
@@ -89,8 +172,8 @@ def _count_chunk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def value_counts(spark: SparkSession, path: str) -> DataFrame:
     """(snapshot_id, column_name, text, num, missing, n): how often each value occurs in each load."""
-    files = spark.read.parquet(path).inputFiles()  # names only
-    names = spark.createDataFrame([(x,) for x in files], "path string").repartition(len(files) or 1)
+    # names are taken by the tasks (a scan without columns), so the driver holds no list of files
+    names = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
     chunks = names.mapInPandas(_chunks, "path string, row_group int")
     chunks = chunks.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "row_group")
     part = chunks.mapInPandas(_count_chunk, COUNTS)
@@ -127,8 +210,8 @@ def whole_rows(churn: DataFrame) -> DataFrame:
     return c.groupBy(key).count().groupBy("snapshot_id").agg(F.sum("count").alias("n"), (F.sum("count") - F.count("*")).alias("duplicates"))
 
 
-def _departs(name: str, now: dict, base: list[dict]) -> bool:
-    """Whether a load's numbers lie far beyond those of the loads in ``base`` (oldest first)."""
+def _departs(name: str, now: dict, base: list[dict], still: bool = False) -> bool:
+    """Whether a load's numbers lie far beyond those of the loads in ``base`` (oldest first); ``still``: without growth of tenure."""
     import numpy as np
 
     n = max(now["n"], 1)
@@ -161,9 +244,13 @@ def _departs(name: str, now: dict, base: list[dict]) -> bool:
     usual_unique = np.median([b["unique_real"] for b in base])
     if now["unique_real"] < 0.35 * usual_unique * min(1.0, m / max(np.median([b["n_real"] for b in base]), 1)) and usual_unique > 4:
         return True
-    if usual_unique <= 2 and now["unique_real"] <= 2:  # a flag: its share
+    flag = all(0 <= v <= 1 for b in [now, *base] for v in (b["lo"], b["hi"]) if v is not None)
+    if flag and usual_unique <= 2 and now["unique_real"] <= 2:  # its share
         return jump((now["mean"] or 0) * m, m, [(b["mean"] or 0) * b["n_real"] for b in base], [b["n_real"] for b in base], 0.15, 4.5)
-    drift = (lambda b: now["pos"] - b["pos"]) if name == "tenure_months" else (lambda b: 0)  # a month more at each load
+    if name == "tenure_months" and not still:  # a month more at each load
+        drift = lambda b: now["pos"] - b["pos"]
+    else:
+        drift = lambda b: 0
     q = np.array(now["q"], float)
     hist = np.array([np.array(b["q"], float) + drift(b) for b in base])
     mid = np.median(hist, axis=0)
@@ -205,12 +292,12 @@ def _history(pdf: pd.DataFrame) -> pd.DataFrame:
         odd: list[dict] = []
         for pos, now in enumerate(loads):
             now["pos"] = pos
-            if not usual:
+            if pos < 2:
                 usual.append(now)
             elif not _departs(name, now, usual):
                 usual.append(now)
                 odd = []
-            elif odd and not _departs(name, now, odd):
+            elif odd and not (_departs(name, now, odd) and _departs(name, now, odd, still=True)):
                 odd.append(now)  # the change lasts
             else:
                 out.append((now["snapshot_id"], name))

@@ -3,14 +3,21 @@
 Method: time-ordered filling per entity. Numerics are interpolated between the observed neighbours
 in time, categories are carried within a gap limit; every filled cell reports method and distance.
 
-An id that stands for many entities (more than ``pooled_rows`` rows in one load) is no entity: its
-rows never enter a per-entity window, so no hot id can fill one task, and they are filled from their
-load. One shuffle on (file, id) serves the windows of all fields.
-
-Defined results: a cell is missing if it is null, NaN or a stand-in (``functions.missing``). Values
-in a wrong unit or sign are kept, but never donate. Rows repeated under another key are filled each.
-Rows whose load is unknown are filled from the group of loads without a file. An empty table gives an
-empty result. Where neither entity nor load has any value the cell stays unfilled with method ``none``.
+A cell is missing if it is null, NaN or a stand-in. Besides the known stand-ins (``functions.missing``)
+those of the data are learned from the neighbours in time: a number that recurs, stands alone among the
+values that contradict their entity's neighbours, and contradicts them in most of its rows; a text that
+recurs, is no neighbour of itself and comes with no one category. If any is learned, the windows run once
+more without it. So learning costs one pass over the windows, which are written to the shared folder.
+
+An id that stands for many entities (more than ``pooled_states`` different states of age and tenure in
+one load; repeated rows are one state) is no entity: its rows never enter a per-entity window, so no hot
+id can fill one task, and they are filled from their load. One shuffle on (file, id) serves the windows of
+all fields.
+
+Defined results: values in a wrong unit or sign are kept, but never donate. Rows repeated under another
+key are filled each. Rows whose load is unknown are filled from the group of loads without a file. An
+empty table gives an empty result. Where neither entity nor load has any value the cell stays unfilled
+with method ``none``.
 """
 
 from __future__ import annotations
@@ -25,37 +32,44 @@ FIELDS = [*NUMERIC, "contract"]
 PLAUSIBLE = {"age": (1, 130), "tenure_months": (0, 1200), "monthly_charges": (0, 1e4)}
 
 
-def missing_cells(churn: DataFrame) -> DataFrame:
-    """(row_id, field_name) of every cell of the four fields without a real value. No shuffle."""
-    hits = F.array(*[F.when(missing_cell(churn.schema, f), F.lit(f)) for f in FIELDS])
-    return churn.select("row_id", F.explode(F.array_compact(hits)).alias("field_name"))
+# What is real whatever the neighbours say.
+REAL = {"tenure_months": [0.0], "monthly_charges": [0.0]}
+#: A value recurs if it is in this share of all rows, and in at least LEAST rows.
+SHARE, LEAST = 1 / 2000, 8
 
 
-def _donor(schema, name: str) -> Column:
-    c = F.col(name)
+def _is_missing(schema, name: str, learned: dict[str, list]) -> Column:
+    more = learned.get(name)
     bad = missing_cell(schema, name)
+    if not more:
+        return bad
+    c = F.lower(F.trim(name)) if name == "contract" else F.col(name)
+    return bad | F.coalesce(c.isin(more), F.lit(False))
+
+
+def _donor(schema, name: str, learned: dict[str, list]) -> Column:
+    c = F.col(name)
+    bad = _is_missing(schema, name, learned)
     if name in PLAUSIBLE:
         lo, hi = PLAUSIBLE[name]
         return F.when(~bad & c.between(lo, hi), c.cast("double"))
     return F.when(~bad, contract_name(c))
 
 
-def fill_missing(churn: DataFrame, loads: DataFrame, gap_days: int = 100, pooled_rows: int = 5) -> DataFrame:
-    """One row per missing cell: row_id, field_name, value (as text), method, distance_days.
-
-    ``method`` is ``interpolate``, ``carry``, ``group`` (median or most frequent value of the load,
-    ties to the smaller) or ``none``; the distance is that of the nearer neighbour in time.
-    """
+def _neighbours(churn: DataFrame, loads: DataFrame, pooled_states: int, learned: dict[str, list]) -> DataFrame:
+    """The rows with, per field, whether the cell is missing, its raw value, what it may donate, and the observed neighbours in time."""
     at = loads.select("snapshot_id", F.col("file_hash").alias("_file"), F.col("taken_at").alias("_at")).dropDuplicates(["snapshot_id"])
     base = churn.select(
         "row_id", "snapshot_id", "customer_id",
-        *[missing_cell(churn.schema, f).alias(f"_m_{f}") for f in FIELDS],
-        *[_donor(churn.schema, f).alias(f"_v_{f}") for f in FIELDS],
+        *[_is_missing(churn.schema, f, learned).alias(f"_m_{f}") for f in FIELDS],
+        *[_donor(churn.schema, f, learned).alias(f"_v_{f}") for f in FIELDS],
+        *[(F.lower(F.trim(f)) if f == "contract" else F.col(f).cast("double")).alias(f"_r_{f}") for f in FIELDS],
     )
     base = base.join(at, "snapshot_id", "left").withColumn("_day", F.unix_timestamp("_at") / 86400.0)
-
+    state = F.struct("_v_age", "_v_tenure_months")
     pooled = (
-        base.groupBy("_file", "customer_id", "snapshot_id").count().where(F.col("count") > pooled_rows)
+        base.where(F.col("_v_age").isNotNull() & F.col("_v_tenure_months").isNotNull())
+        .groupBy("_file", "customer_id", "snapshot_id").agg(F.count_distinct(state).alias("states")).where(F.col("states") > pooled_states)
         .select("_file", "customer_id").distinct().withColumn("_pooled", F.lit(True))
     )
     keyed = base.join(
@@ -68,12 +82,59 @@ def fill_missing(churn: DataFrame, loads: DataFrame, gap_days: int = 100, pooled
     w = Window.partitionBy("_file", "customer_id", "_own").orderBy("_day", "row_id")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     seen = lambda f: F.when(F.col(f"_v_{f}").isNotNull(), F.struct(F.col("_day").alias("d"), F.col(f"_v_{f}").alias("v")))
-    keyed = keyed.select(
-        "*",
+    return keyed.select(
+        "row_id", "snapshot_id", "_day", *[f"_{k}_{f}" for k in "mvr" for f in FIELDS],
         *[F.last(seen(f), ignorenulls=True).over(back).alias(f"_p_{f}") for f in FIELDS],
         *[F.first(seen(f), ignorenulls=True).over(ahead).alias(f"_n_{f}") for f in FIELDS],
     )
 
+
+def learn_stand_ins(rows: DataFrame) -> dict[str, list]:
+    """Field to the stand-ins that the rows show beyond the known ones; a value is one of at most 1 / SHARE."""
+    n = rows.count()
+    least = max(n * SHARE, LEAST)
+    out: dict[str, list] = {}
+    for f in FIELDS:
+        raw, p, q = F.col(f"_r_{f}"), F.col(f"_p_{f}.v"), F.col(f"_n_{f}.v")
+        seen = rows.where(~F.col(f"_m_{f}") & (p.isNotNull() | q.isNotNull()))
+        if f == "contract":
+            near = seen.select(raw.alias("v"), F.col(f"_v_{f}").alias("own"), F.coalesce(p, q).alias("near")).groupBy("v", "own", "near").agg(F.count(F.lit(1)).alias("n"))
+            per = near.groupBy("v").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum(F.when(F.col("own") == F.col("near"), F.col("n")).otherwise(0)).alias("same"))
+            found = per.where((F.col("n") >= least) & (F.col("same") < 0.05 * F.col("n")) & (F.col("top") < 0.75 * F.col("n"))).select("v").collect()
+            out[f] = [r["v"] for r in found]
+            continue
+        lo, hi = F.least(p, q), F.greatest(p, q)
+        off = (raw < 0.5 * lo - 2) | (raw > 1.5 * hi + 5)
+        per = seen.groupBy(raw.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off")).where("off > 0.6 * n")
+        big = [(r["v"], r["n"]) for r in per.where(F.col("n") >= least).collect() if r["v"] not in REAL.get(f, [])]
+        if not big:
+            continue
+        # what lies around a recurring value, other recurring ones left out: one row per candidate
+        spikes = F.array(*[F.lit(float(v)) for v, _ in big])
+        around = per.where(F.col("n") < least).select("v", "n", F.explode(spikes).alias("at")).where(F.abs(F.col("v") - F.col("at")) <= F.greatest(F.lit(3.0), 0.005 * F.abs("at")))
+        crowd = {r["at"]: r["n"] for r in around.groupBy("at").agg(F.sum("n").alias("n")).collect()}
+        out[f] = [v for v, k in big if k >= 8 * crowd.get(v, 0)]
+    return {f: v for f, v in out.items() if v}
+
+
+def found(churn: DataFrame, loads: DataFrame) -> DataFrame:
+    """(row_id, field_name) of every cell that the filling marks."""
+    return fill_missing(churn, loads).select("row_id", "field_name")
+
+
+def fill_missing(churn: DataFrame, loads: DataFrame, gap_days: int = 100, pooled_states: int = 3) -> DataFrame:
+    """One row per missing cell: row_id, field_name, value (as text), method, distance_days.
+
+    ``method`` is ``interpolate``, ``carry``, ``group`` (median or most frequent value of the load,
+    ties to the smaller) or ``none``; the distance is that of the nearer neighbour in time.
+    """
+    from cairn.session import cut
+
+    keyed = cut(_neighbours(churn, loads, pooled_states, {}))
+    learned = learn_stand_ins(keyed)
+    if learned:
+        keyed = cut(_neighbours(churn, loads, pooled_states, learned))
+
     def cell(f: str) -> Column:
         p, n, day = F.col(f"_p_{f}"), F.col(f"_n_{f}"), F.col("_day")
         dp, dn = day - p["d"], n["d"] - day
@@ -95,11 +156,12 @@ def fill_missing(churn: DataFrame, loads: DataFrame, gap_days: int = 100, pooled
 
     cells = keyed.select("row_id", "snapshot_id", F.explode(F.array_compact(F.array(*[cell(f) for f in FIELDS]))).alias("c")).select("row_id", "snapshot_id", "c.*")
 
-    group = base.groupBy("snapshot_id").agg(
-        *[F.percentile_approx(f"_v_{f}", 0.5, 1000).alias(f) for f in NUMERIC],
+    # exact medians: the buffers hold distinct values within PLAUSIBLE, charges in cents
+    group = keyed.groupBy("snapshot_id").agg(
+        *[F.percentile(F.round(f"_v_{f}", 2), 0.5).alias(f) for f in NUMERIC],
         F.mode("_v_contract", deterministic=True).alias("contract"),
     )
-    group = group.select("snapshot_id", *[F.col(f).cast("long" if f in ("age", "tenure_months") else "string").cast("string").alias(f) for f in FIELDS])
+    group = group.select("snapshot_id", *[(F.col(f) if f == "contract" else F.round(f, 2 if f == "monthly_charges" else 0).cast("double" if f == "monthly_charges" else "long")).cast("string").alias(f) for f in FIELDS])
     group = group.unpivot("snapshot_id", FIELDS, "field_name", "_group")
     out = cells.join(group, ["snapshot_id", "field_name"], "left")
     return out.select(

@@ -14,7 +14,10 @@ from cairn.session import cut
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id of each node's component; self-pairs give components of one."""
+    """(id, component): the smallest id of each node's component; self-pairs give components of one.
+
+    Raises if ``rounds`` don't suffice, as unfinished labels would be wrong.
+    """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     both = cut(both.union(both.select("y", "x")).distinct())
     label = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).select(F.col("x").alias("id"), "l"))
@@ -27,6 +30,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         label = new.select("id", "l")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return label.select("id", F.col("l").alias("component"))
 
 

@@ -24,7 +24,7 @@ def _p3_profile(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p3_found": _p3_found,
     "p3_profile": _p3_profile,
-    "p6_found": lambda s, d: fill.missing_cells(read(s, d, "demo_churn")),
+    "p6_found": lambda s, d: fill.found(read(s, d, "demo_churn"), read(s, d, "snapshots")),
     "p6_filled": lambda s, d: fill.fill_missing(read(s, d, "demo_churn"), read(s, d, "snapshots")),
 }
 

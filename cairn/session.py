@@ -17,8 +17,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The session's ``spark.checkpoint.dir`` wins; only where it is unset (tests, one machine)
-    a folder under the system's temporary folder is used.
+    The session's ``spark.checkpoint.dir`` wins. Where it is unset a local master (tests, one machine)
+    takes a folder under the system's temporary folder; on a cluster that folder would be another one on
+    each machine, so there it is an error.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
     if by_call.isDefined():
         return by_call.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "cairn-shared")
 
 

@@ -33,7 +33,7 @@ def test_fill(spark):
     assert got[4, "age"].value == "40" and got[4, "age"].method == "carry" and got[4, "contract"].value == "yearly"
     assert got[7, "age"].method == "group"
     assert (5, "monthly_charges") not in got and (7, "monthly_charges") not in got  # zero is real, a wrong sign is not missing
-    found = {(r.row_id, r.field_name) for r in fill.missing_cells(churn(spark, rows)).collect()}
+    found = {(r.row_id, r.field_name) for r in fill.found(churn(spark, rows), loads(spark)).collect()}
     assert found == set(got)
 
 
@@ -45,7 +45,28 @@ def test_pooled_id_is_no_entity(spark):
 
 def test_fill_empty(spark):
     assert fill.fill_missing(churn(spark, []), loads(spark)).count() == 0
-    assert fill.missing_cells(churn(spark, [])).count() == 0
+    assert fill.found(churn(spark, []), loads(spark)).count() == 0
+
+
+def test_repeated_rows_keep_their_history(spark):
+    rows = [(i, 1 + i % 3, 7, 30.0, 5 + i % 3, 5.0, "monthly") for i in range(30)] + [(99, 2, 7, None, 6, 5.0, "monthly")]
+    assert [(r.row_id, r.method, r.value) for r in fill.fill_missing(churn(spark, rows), loads(spark)).collect()] == [(99, "interpolate", "30")]
+
+
+def test_stand_ins_are_learned(spark):
+    """777 and "tbd" recur and contradict their neighbours; one-off wrong values and a spelling do not count as missing."""
+    rows, k = [], 0
+    for c in range(60):
+        for load in (1, 2, 3):
+            k += 1
+            odd = load == 2
+            age = 777.0 if odd and c % 3 == 0 else 1900.0 + c if odd and c % 3 == 1 else 40.0 + c % 9
+            name = "tbd" if odd and c % 2 else "mthly" if odd and c % 4 == 0 else ["monthly", "yearly", "trial"][c // 2 % 3] if c % 4 else "monthly"
+            rows.append((k, load, c, age, 10 + load, 20.0, name))
+    got = {(r.row_id, r.field_name): r.value for r in fill.fill_missing(churn(spark, rows), loads(spark)).collect()}
+    want = {(r[0], "age") for r in rows if r[3] == 777.0} | {(r[0], "contract") for r in rows if r[6] == "tbd"}
+    assert set(got) == want
+    assert got[2, "age"] == "40"
 
 
 def test_profile_counts(spark, tmp_path):
@@ -97,7 +118,7 @@ def test_history_reports_a_lasting_change_once():
 
 @pytest.mark.parametrize("bad", [-1.0, 0.0, 999.0])
 def test_age_stand_ins(spark, bad):
-    assert fill.missing_cells(churn(spark, [(1, 1, 1, bad, 1, 1.0, "monthly")])).count() == 1
+    assert fill.found(churn(spark, [(1, 1, 1, bad, 1, 1.0, "monthly")]), loads(spark)).count() == 1
 
 
 def test_categories_of_one_shape_are_told_apart(spark, tmp_path):
