@@ -1,14 +1,18 @@
 """Problem 2: same or nearly same images across splits.
 
-Method: an edit-distance segment join over the hexadecimal fingerprints. With at most ``k`` edits at
-least two of k + 2 segments stay whole, so evaluation strings are cut into k + 2 segments, every pair
-of segments is matched with the training substrings at the same positions (fingerprints have one
-length and change by substitution only, so no shifted position can match more), and the candidates are
-verified by Spark's banded ``levenshtein``. One whole segment of k + 1, the classical form, would find
-the same pairs with about forty times as many candidates.
+Method: an edit-distance segment join over the hexadecimal fingerprints. Training strings are indexed by
+their substrings; an evaluation string is cut into k + 1 segments, of which at most k edits leave one
+whole, so a pair within k edits shares a segment at one of the positions the other segments' edits allow
+(i - 1 edits before the i-th, k + 1 - i after it, and half of k as both strings have one length).
+Candidates are verified by Spark's banded ``levenshtein`` and by bit distances.
 
-Copies are collapsed first: the join runs over distinct fingerprint tuples, so a group of copies,
-however large, is one row on either side; only the last step expands classes to the asked pairs.
+Hot segments (flat images give runs of one digit) are split: there are at most 4 x (k + 1) x 16^4 different
+segments, whatever the data, so their counts are broadcast, and a segment of many training strings is
+spread over as many salts as it holds blocks of BLOCK strings; evaluation strings visit each.
+
+Copies are collapsed first: the join runs over distinct fingerprints, so a group of copies, however large,
+is one row on either side; only the last step expands classes to the asked pairs. The remaining
+candidates still grow with the square of distinct fingerprints, as segments of few digits are few.
 
 Defined results: fingerprints and file hashes are compared in lower case, blank ones count as unknown.
 Two images match if their file hashes are equal, or if at least two known fingerprints lie within
@@ -19,12 +23,12 @@ gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 PRINTS = ["phash", "dhash", "ahash", "whash"]
 LENGTH = 16
+#: Training strings of one segment that one task joins at a time.
+BLOCK = 20_000
 
 
 def split_name(c: Column) -> Column:
@@ -52,29 +56,56 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _bounds(parts: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of each segment; segments are whole hexadecimal digits."""
+def segments(parts: int) -> list[tuple[int, int]]:
+    """(first digit, digits) of each segment; the longer ones lie inside, where more positions are allowed."""
     size, extra = divmod(LENGTH, parts)
-    out, at = [], LENGTH
+    inner = sorted(range(parts), key=lambda i: (abs(i - (parts - 1) / 2), i))[:extra]
+    out, at = [], 0
     for i in range(parts):
-        n = size + (i < extra)
-        at -= n
-        out.append((4 * at, 4 * n))
+        n = size + (i in inner)
+        out.append((at, n))
+        at += n
     return out
 
 
-def _piece(c: Column, pair: tuple[tuple[int, int], tuple[int, int]], slot: int) -> Column:
-    """Two segments and the slot they come from in one long: at most 12 bits each, 16 for the slot."""
-    cut = lambda low, n: F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    (a, m), (b, n) = pair
-    return F.lit(slot << 40).cast("long").bitwiseOR(F.shiftleft(cut(a, m), 20)).bitwiseOR(cut(b, n))
+def places(k: int, i: int, at: int, n: int) -> range:
+    """Where the i-th segment (from 0) of a string may begin in another of the same length, at most k edits away."""
+    reach = min(i, k - i, k // 2)
+    return range(max(0, at - reach), min(LENGTH - n, at + reach) + 1)
+
+
+def _piece(c: Column, kind: Column, slot: int, at: int, n: int) -> Column:
+    """Kind, slot and digits of a substring in one long."""
+    digits = F.shiftrightunsigned(c, 4 * (LENGTH - at - n)).bitwiseAND(F.lit((1 << 4 * n) - 1).cast("long"))
+    return F.shiftleft(kind.cast("long"), 56).bitwiseOR(F.lit(slot << 40).cast("long")).bitwiseOR(digits)
+
+
+def close_prints(prints: DataFrame, k: int, bits: int, block: int = BLOCK) -> DataFrame:
+    """(kind, print_t, print_e): training and evaluation fingerprints of one kind within k digits and ``bits`` bits.
+
+    ``prints`` has side (t, e), kind and print, each row once.
+    """
+    cuts = list(enumerate(segments(k + 1)))
+    p, kind = F.col("print"), F.col("kind")
+    at_e = F.array(*[_piece(p, kind, i, at, n) for i, (at, n) in cuts])
+    at_t = F.array_distinct(F.array(*[_piece(p, kind, i, x, n) for i, (at, n) in cuts for x in places(k, i, at, n)]))
+    t = prints.where("side = 't'").select(F.explode(at_t).alias("key"), p.alias("print_t"))
+    e = prints.where("side = 'e'").select(F.explode(at_e).alias("key"), p.alias("print_e"))
+    hot = t.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("salts"))
+    hot = F.broadcast(hot)  # at most as many rows as there are different segments
+    one = F.coalesce("salts", F.lit(1))
+    t = t.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("print_t"), one).cast("int").alias("salt"), "print_t")
+    e = e.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt"), "print_e")
+    near = t.join(e, ["key", "salt"]).where(_distance(F.col("print_t"), F.col("print_e")) <= bits)
+    near = near.select(F.shiftrightunsigned("key", 56).cast("int").alias("kind"), "print_t", "print_e").distinct()
+    return near.where(F.levenshtein(_text(F.col("print_t")), _text(F.col("print_e")), k) >= 0)
 
 
 def cross_split_pairs(images: DataFrame, k: int = 5, bits: int = 10) -> DataFrame:
     """(image_id_a, image_id_b): one in train, the other in val or test, both the same picture."""
     side = split_name(F.col("split"))
-    if not 1 <= k <= LENGTH - 2 or LENGTH // (k + 2) > 4:
-        raise ValueError("k + 2 segments of at most five digits are needed")
+    if not 3 <= k < LENGTH:
+        raise ValueError("k + 1 segments of at most four digits are needed")
     rows = images.select(
         "image_id", F.when(side == "train", "t").when(side.isNotNull(), "e").alias("side"),
         _known("sha256", 64).alias("sha"), *[_number(_known(p, LENGTH)).alias(p) for p in PRINTS],
@@ -88,18 +119,9 @@ def cross_split_pairs(images: DataFrame, k: int = 5, bits: int = 10) -> DataFram
 
     same_file = of("t", "sha").join(of("e", "sha"), F.col("sha_t") == F.col("sha_e")).select("cls_t", "cls_e")
 
-    pairs_ = list(combinations(_bounds(k + 2), 2))
     prints = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(p).alias("print")) for n, p in enumerate(PRINTS)]))
     by_print = classes.select("side", "cls", prints.alias("x")).where(F.col("x.print").isNotNull()).select("side", "cls", "x.*")
-    # a print twice on one side is one row; its keys are two longs, so the shuffle holds numbers only
-    distinct = by_print.select("side", "kind", "print").distinct()
-    keys = F.explode(F.transform(F.array(*[_piece(F.col("print"), pr, j) for j, pr in enumerate(pairs_)]), lambda x: F.shiftleft(F.col("kind").cast("long"), 56).bitwiseOR(x)))
-    long = distinct.select("side", "print", keys.alias("key"))
-    t, e = (long.where(F.col("side") == s).select("key", F.col("print").alias(f"print_{s}")) for s in "te")
-    close = (
-        t.join(e, "key").where((_distance(F.col("print_t"), F.col("print_e")) <= bits) & (F.levenshtein(_text(F.col("print_t")), _text(F.col("print_e")), k) >= 0))
-        .select(F.shiftrightunsigned("key", 56).cast("int").alias("kind"), "print_t", "print_e").distinct()
-    )
+    close = close_prints(by_print.select("side", "kind", "print").distinct(), k, bits)
     end = lambda s: by_print.where(F.col("side") == s).select("kind", F.col("print").alias(f"print_{s}"), F.col("cls").alias(f"cls_{s}"))
     cand = close.join(end("t"), ["kind", "print_t"]).join(end("e"), ["kind", "print_e"]).select("cls_t", "cls_e").distinct()
 
