@@ -2,17 +2,18 @@
 
 Method: a maximum-scoring subsequence. A lexer cuts the text into words and markup tokens; words score
 positive, tags negative, with weights per token class learned from labelled pages (pages whose own
-``<body>`` or ``document`` environment says where the content is). One linear scan finds the best
-contiguous region, which is then turned into clean text that keeps headings (``#``), lists (``-``),
-code (fenced) and formulas (``$``). A document has markup if its token sequence holds a token of a
-markup class, that is one with a negative weight.
+``<body>`` or ``document`` environment says where the content is; the sign of a class is given, its size
+learned). One linear scan finds the best contiguous region, which is then turned into clean text that keeps
+headings (``#``), lists (``-``), code (fenced) and formulas (``$``). A document has markup if the scan loses
+by it: the best region is not the whole text, or scores less than the words alone. As one sign is markup
+enough, no loss is too small.
 
 Lexing and scanning are linear in the text, texts are handled whole, and nothing is shuffled. The
 weights come from at most ``sample`` labelled pages; they are some tens of numbers.
 
 Defined results: null and blank texts have no markup and stay as they are. A text without markup comes
 back unchanged. Comparisons, prices, arithmetic, paths, bullets written as a dot and program lines in
-plain text are words to the lexer. If no word is left (markup only), the clean text is empty.
+plain text are words to the lexer, and so is a comment (``#``) beside a program line. If no word is left (markup only), the clean text is empty.
 """
 
 from __future__ import annotations
@@ -75,13 +76,41 @@ MARKUP = [k for k, _ in TOKENS if k not in ("word", "break")]
 PRIOR = {k: -0.1 for k in MARKUP} | {"word": 1.0, "break": 0.0, "html_head": -8.0, "html_comment": -2.0}
 
 
+# Words that begin a program line.
+_KEYWORDS = "def class for while if elif else return import from try except with func let const var public private int void echo export sudo cd pip python git docker curl make npm select insert update delete".split()
+#: A line of a program or a shell: a keyword with signs of code, an assignment, a call, a statement's end, an option.
+_PROGRAM = re.compile(rf"(?i:\s*(?:{'|'.join(_KEYWORDS)})\b[^\n]*(?:[:;{{}}()=\[\]]|\s--?\w))|(?:[ \t]{{2,}})(?:{'|'.join(_KEYWORDS)})\b|\s*[\w.\[\]]+ ?[-+*/|&]?= ?\S|\s*[\w.]+\([^)\n]*\);?[ \t]*$|[^\n]*[;{{}}][ \t]*$|\$ \S|\w[\w\-]*(?: [^\s]+)* --\w")
+
+
+def _beside_program(text: str, s: int) -> bool:
+    """Whether the line before or after the one that begins at ``s`` is a program line; blank lines part them."""
+    stop = text.find("\n", s)
+    if stop >= 0 and _PROGRAM.match(text, stop + 1, (text.find("\n", stop + 1) + 1 or len(text) + 1) - 1):
+        return True
+    start = text.rfind("\n", 0, max(s - 1, 0)) + 1
+    return s > 0 and bool(_PROGRAM.match(text, start, s - 1))
+
+
 def lex(text: str) -> list[tuple[str, int, int]]:
     """(class, start, stop) of every token."""
-    return [(m.lastgroup, m.start(), m.end()) for m in LEXER.finditer(text)]
+    out = []
+    for m in LEXER.finditer(text):
+        k, s = m.lastgroup, m.start()
+        if k == "md_heading" and text.startswith("# ", s) and (s == 0 or text[s - 1] == "\n") and _beside_program(text, s):
+            k = "word"
+        out.append((k, s, m.end()))
+    return out
 
 
-def has_markup(text: str | None) -> bool:
-    return bool(text) and any(m.lastgroup in PRIOR and PRIOR[m.lastgroup] < 0 for m in LEXER.finditer(text))
+def has_markup(text: str | None, weights: dict[str, float] = PRIOR) -> bool:
+    """Whether the scan loses by markup."""
+    if not text:
+        return False
+    tokens = lex(text)
+    first, last = best_region(tokens, weights)
+    score = sum(weights.get(k, 0.0) for k, _, _ in tokens[first:last])
+    words = sum(w for k, _, _ in tokens if (w := weights.get(k, 0.0)) > 0)
+    return last - first < len(tokens) or score < words - 1e-9 * len(tokens)
 
 
 def best_region(tokens: list[tuple[str, int, int]], weights: dict[str, float]) -> tuple[int, int]:
@@ -256,15 +285,16 @@ def clean(text: str | None, weights: dict[str, float] = PRIOR) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", t).strip()
 
 
-@F.pandas_udf(T.BooleanType())
-def _has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(has_markup).astype(bool)
+def found(documents: DataFrame, sample: int = 1000) -> DataFrame:
+    """(file_id) of every document of which the scan loses something to markup."""
+    weights = learn_weights(documents, sample)
 
+    @F.pandas_udf(T.BooleanType())
+    def go(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: has_markup(t, weights)).astype(bool)
 
-def found(documents: DataFrame) -> DataFrame:
-    """(file_id) of every document whose text holds a markup token."""
-    return documents.where(_has("full_text")).select("file_id")
+    return documents.where(go("full_text")).select("file_id")
 
 
 def cleaned(documents: DataFrame, sample: int = 1000) -> DataFrame:

@@ -3,11 +3,14 @@
 Method: subset-sum budget fitting. Documents are counted by source and exact token length; each source
 gets a budget of tokens, whole passes over the source take most of it, a proportional part of every
 length most of the rest, and a bounded-knapsack dynamic programme over the remaining counts fits what is
-then left. Documents are selected by length count, in the order of a seeded hash.
+then left. No sum can exceed the budget rounded down to the lengths' common divisor; where the programme
+reaches that, the fit is the best there is. Where it doesn't, the proportional part is halved, and at last
+left out, so that the programme covers all choices: the result is always the best reachable sum.
+Documents are selected by length count, in the order of a seeded hash.
 
 The driver sees counts per source and length only. To take the first n documents of a length by hash, the
-hashes are first counted in buckets, so that only the one bucket on the border is ranked: no window holds
-more than a small part of a source, even if one source or one length holds most rows.
+hashes are first counted in buckets of some BUCKET documents, so that only the one bucket on the border is
+ranked: no window holds more than that, even if one source or one length holds most rows.
 
 The total is the largest for which every source that has documents can give its share (shares of sources
 without documents are spread over the others in proportion), unless a smaller one is asked for.
@@ -19,15 +22,16 @@ of their own. A target without documents reports an actual share of zero.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.session import cut
 from cairn.llm.tokens import TOKENIZERS, token_counts
 
-BUCKETS = 256
-#: The dynamic programme covers at most this many tokens; what is above is taken greedily, longest first.
-WINDOW = 1 << 17
+#: Documents of one length that are ranked together.
+BUCKET = 4096
 
 
 def source_name(c: Column) -> Column:
@@ -37,7 +41,8 @@ def source_name(c: Column) -> Column:
 def fit(counts: dict[int, int], budget: int, repeats: int) -> tuple[int, dict[int, int]]:
     """(passes, extra): how often every document is taken, and how many documents of each length once more.
 
-    The tokens taken are at most ``budget`` and as near as the lengths allow.
+    The tokens taken are at most ``budget`` and as near to it as any choice of documents gets, after as many
+    whole passes as fit.
     """
     total = sum(n * c for n, c in counts.items())
     if not total or budget <= 0:
@@ -46,17 +51,22 @@ def fit(counts: dict[int, int], budget: int, repeats: int) -> tuple[int, dict[in
     if passes == repeats:
         return repeats, {}
     left = budget - passes * total
-    take = {n: min(c, int(c * left // total)) for n, c in counts.items()}
-    left -= sum(n * t for n, t in take.items())
-    for n in sorted(counts, reverse=True):  # greedily, until the programme can take over
-        if left <= WINDOW:
+    step = math.gcd(*counts)
+    goal = left // step * step
+    best: dict[int, int] = {}
+    reached, part = -1, left  # ``part``: tokens taken in proportion, before the programme
+    while reached < goal:
+        take = {n: min(c, int(c * part // total)) for n, c in counts.items()}
+        room = left - sum(n * t for n, t in take.items())
+        for n, k in _knapsack({n: counts[n] - take[n] for n in counts if counts[n] > take[n] and n <= room}, room).items():
+            take[n] += k
+        got = sum(n * t for n, t in take.items())
+        if got > reached:
+            reached, best = got, take
+        if not part:
             break
-        k = min(counts[n] - take[n], (left - WINDOW) // n)
-        take[n] += k
-        left -= n * k
-    for n, k in _knapsack({n: counts[n] - take[n] for n in counts if counts[n] > take[n] and n <= left}, int(left)).items():
-        take[n] += k
-    return passes, {n: t for n, t in take.items() if t}
+        part = part // 2 if part > step else 0
+    return passes, {n: t for n, t in best.items() if t}
 
 
 def _knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -95,10 +105,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     want = targets.select(source_name(F.col("source")).alias("source"), "target_share", F.col("max_repeats").alias("max_repeats"))
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in want.collect()}
     sized = sized.where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
-    sized = cut(sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")))
+    sized = cut(sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     per = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("docs"))
     counts: dict[str, dict[int, int]] = {}
-    for r in per.toLocalIterator():
+    for r in per.collect():  # as many rows as sources and different lengths
         counts.setdefault(r["source"], {})[int(r["n_tokens"])] = int(r["docs"])
     have = {s: sum(n * c for n, c in counts.get(s, {}).items()) for s in wanted}
     share_sum = sum(w for s, (w, _) in wanted.items() if have[s])
@@ -109,17 +119,18 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
         budget = min(int(round(total * w / share_sum)), have[s] * m) if have[s] else 0
         passes, extra = fit(counts.get(s, {}), budget, m)
         chosen[s] = passes * have[s] + sum(n * k for n, k in extra.items())
-        plan += [(s, n, passes, extra.get(n, 0)) for n in counts.get(s, {})]
-    plan_df = spark.createDataFrame(plan, "source string, n_tokens long, passes int, extra long")
+        plan += [(s, n, passes, extra.get(n, 0), c // BUCKET + 1) for n, c in counts.get(s, {}).items()]
+    plan_df = spark.createDataFrame(plan, "source string, n_tokens long, passes int, extra long, buckets long")
+    sized = sized.join(F.broadcast(plan_df.select("source", "n_tokens", "buckets")), ["source", "n_tokens"]).withColumn("bucket", F.pmod("h", "buckets")).drop("buckets")
     # whole buckets below the border are taken, the bucket on the border is ranked
     grouped = sized.groupBy("source", "n_tokens", "bucket").agg(F.count("*").alias("c"))
-    w = _window("source", "n_tokens").orderBy("bucket")
-    below = F.coalesce(F.sum("c").over(w.rowsBetween(-BUCKETS, -1)), F.lit(0))
+    w = Window.partitionBy("source", "n_tokens").orderBy("bucket")
+    below = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     border = grouped.withColumn("below", below).join(plan_df, ["source", "n_tokens"])
     border = border.select("source", "n_tokens", "bucket", "passes", F.greatest(F.least(F.col("extra") - F.col("below"), F.col("c")), F.lit(0)).alias("room"), "c")
     joined = sized.join(border, ["source", "n_tokens", "bucket"])
     sure = joined.where((F.col("room") == 0) | (F.col("room") == F.col("c"))).withColumn("copies", F.col("passes") + F.when(F.col("room") == F.col("c"), 1).otherwise(0))
-    ranked = joined.where((F.col("room") > 0) & (F.col("room") < F.col("c"))).withColumn("r", F.row_number().over(_window("source", "n_tokens", "bucket").orderBy("h", "doc_id")))
+    ranked = joined.where((F.col("room") > 0) & (F.col("room") < F.col("c"))).withColumn("r", F.row_number().over(Window.partitionBy("source", "n_tokens", "bucket").orderBy("h", "doc_id")))
     ranked = ranked.withColumn("copies", F.col("passes") + F.when(F.col("r") <= F.col("room"), 1).otherwise(0))
     cols = ["doc_id", "source", "n_tokens", "copies"]
     selection = sure.select(cols).union(ranked.select(cols)).where("copies > 0").withColumn("copies", F.col("copies").cast("int"))
@@ -128,8 +139,3 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     report_df = spark.createDataFrame(report, "source string, target_share double, reachable_share double, max_repeats int, tokens_available long, tokens_taken long, actual_share double")
     return selection, report_df
 
-
-def _window(*by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)

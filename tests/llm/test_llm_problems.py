@@ -115,7 +115,7 @@ def test_scan_noise(spark):
 
 
 MARKED = ["<p>One</p>", "a &amp; b", "# Title", "**bold** word", "- item", "see [x](y.md)", "''it'' is", "== Head ==", "{{tpl}} x", "\\textbf{x}", "a\\_b", "$$\\alpha$$", "x\n===\ny", "stray </b> tag", "`code`", "> quote", "|-\n| a || b"]
-PLAIN = ["a < b and c > d", "costs $5 to $9", "2 * 3 * 4", "D:\\feeds\\old", "• point", "for (i = 0; i < n; i++) {\n  t = t + w[i] * x[i];\n}", "SELECT COUNT(*) AS n", "a_b and c_d", "R&D", "Use x -> y", "See [note 4]", "C# and F#", "3 | 4 | 9", "ratio a/b~5", "70^2", "Rule #1", "- 12 -", None, "", "  "]
+PLAIN = ["a < b and c > d", "costs $5 to $9", "2 * 3 * 4", "D:\\feeds\\old", "• point", "for (i = 0; i < n; i++) {\n  t = t + w[i] * x[i];\n}", "SELECT COUNT(*) AS n", "a_b and c_d", "R&D", "Use x -> y", "See [note 4]", "C# and F#", "3 | 4 | 9", "ratio a/b~5", "70^2", "Rule #1", "- 12 -", "# comment in shell\nload --feed churn --since 3", "x = 1\n# twice\ny = x * 2", "def f(a):\n    return a\n# done", None, "", "  "]
 
 
 @pytest.mark.parametrize("text", MARKED)
@@ -143,6 +143,14 @@ def test_markup_clean(spark):
     assert markup.found(df.limit(0)).count() == 0
 
 
+def test_found_comes_from_the_scan(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "<p>One</p>"), (2, "plain words")], "file_id long, full_text string")
+    assert {r.file_id for r in markup.found(df).collect()} == {1}
+    monkeypatch.setattr(markup, "learn_weights", lambda *_: dict(markup.PRIOR, html_tag=0.0))
+    assert markup.found(df).count() == 0  # weights decide
+    assert markup.has_markup("# Title\n\nx = 1") and markup.has_markup("<br>")
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(5)
     for _ in range(200):
@@ -162,6 +170,7 @@ def test_tokens_round_trip(spark):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) if k % 3 else " " * rng.randint(1, 200) + rng.choice(["a", "'ll", "9", "\n"]) * rng.randint(0, 150)
         want = enc.bpe.encode_ordinary(t)
         assert small.tree(t).ids == want and enc.decode(want) == t
+        assert enc.tree(t).ids == enc.encode(t)  # a text of one leaf: the tree's only leaf, encoded directly
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<|endoftext|> hi", "x"), (4, "ab " * 20000, "x")], "doc_id long, text string, ids string")
     out = {r.doc_id: list(r.ids) for r in tokens.token_ids(df).collect()}
     assert out[1] == out[2] == [] and enc.decode(out[3]) == "<|endoftext|> hi" and out[4] == enc.bpe.encode_ordinary("ab " * 20000)
@@ -181,6 +190,35 @@ def test_knapsack_against_brute_force():
         assert sum(n * k for n, k in got.items()) == max(s for s in sums if s <= budget)
 
 
+def test_fit_is_the_best_sum():
+    rng = random.Random(4)
+    for _ in range(1500):
+        counts = {rng.randint(1, 60): rng.randint(1, 6) for _ in range(rng.randint(1, 6))}
+        total, repeats = sum(n * c for n, c in counts.items()), rng.randint(1, 3)
+        budget = rng.randint(1, total * repeats)
+        passes, extra = mixture.fit(counts, budget, repeats)
+        assert passes <= repeats and all(k <= counts[n] for n, k in extra.items()) and (passes < repeats or not extra)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        left = budget - passes * total
+        want = max(s for s in sums if s <= left) if passes < repeats else 0
+        assert sum(n * k for n, k in extra.items()) == want
+    many = {n: 1000 for n in range(50, 900)}  # far beyond what one programme could hold
+    passes, extra = mixture.fit(many, 301_234_567, 1)
+    assert sum(n * k for n, k in extra.items()) == 301_234_567
+    assert min(extra.values()) > 0  # taken in proportion, not longest first
+
+
+def test_hot_length_is_split(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BUCKET", 8)
+    df = spark.createDataFrame([(i, "a b c", "alpha") for i in range(300)] + [(1000 + i, "a b c", "beta") for i in range(100)], "doc_id long, text string, source string")
+    want = spark.createDataFrame([("alpha", 0.5, 1), ("beta", 0.5, 2)], "source string, target_share double, max_repeats int")
+    sel, rep = mixture.mix(df, want)
+    n = {r.source: r.n for r in sel.groupBy("source").agg({"copies": "sum"}).toDF("source", "n").collect()}
+    assert n == {"alpha": 200, "beta": 200} and {r.source: r.actual_share for r in rep.collect()} == {"alpha": 0.5, "beta": 0.5}
+
+
 def test_mixture(spark):
     rng = random.Random(1)
     rows = [(i, "word " * rng.randint(1, 40), ["alpha", "Beta-X", " gamma", None, "other"][i % 5] if i % 11 else "alpha", "q", 1) for i in range(600)] + [(1000, None, "alpha", "q", 1), (1001, "", "alpha", "q", 1)]
