@@ -5,8 +5,9 @@ characters labels the characters; each labelled span gets its state's inverse tr
 
 The emission of a clean span is a character trigram model of the corpus; a garbled span is emitted with
 the probability of what its inverse transform gives back, as the transform is one to one. Plain ASCII is
-the same in every state, so the chain runs over the words that hold other characters, each labelled as a
-whole. The trigrams are counted over all rows: words are counted first (map-side combined), words that
+the same in every state, so the chain need not stop there: it runs over the words that hold other
+characters, and where no state reads such a word from end to end, over its characters (``label_characters``),
+so that the state may change within a word. The trigrams are counted over all rows: words are counted first (map-side combined), words that
 read as garbled are left out, which is repeated once with the model so learned. The model is a table of
 character trigrams with ideographs, syllabaries and digits folded to one symbol each, so that its size
 depends on alphabets and not on the data.
@@ -129,18 +130,27 @@ class Model:
             self.n1[g[2]] = self.n1.get(g[2], 0) + n
             self.total += n
         self.cache: dict[str, float] = {}
+        self.parts: dict[str, list[tuple[int, str]]] = {}
+
+    def symbol(self, ctx: str, c: str) -> float:
+        """Log probability of a folded character after two others."""
+        p1 = (self.n1.get(c, 0) + 0.02) / (self.total + 2000)
+        p2 = (self.n2.get(ctx[1] + c, 0) + 3 * p1) / (self.c1.get(ctx[1], 0) + 3)
+        p3 = (self.n3.get(ctx + c, 0) + 2 * p2) / (self.c2.get(ctx, 0) + 2)
+        return math.log(p3) - (8 if "\x80" <= c < "\xa0" else 0)  # control characters are never typed
+
+    def spans(self, w: str) -> list[tuple[int, str]]:
+        """``label_characters``, kept for words that return."""
+        if w not in self.parts:
+            if len(self.parts) > 100_000:
+                self.parts.clear()
+            self.parts[w] = label_characters(w, self)
+        return self.parts[w]
 
     def word(self, w: str) -> float:
         if w in self.cache:
             return self.cache[w]
-        s = 0.0
-        for g in trigrams(w):
-            p1 = (self.n1.get(g[2], 0) + 0.02) / (self.total + 2000)
-            p2 = (self.n2.get(g[1:], 0) + 3 * p1) / (self.c1.get(g[1], 0) + 3)
-            p3 = (self.n3.get(g, 0) + 2 * p2) / (self.c2.get(g[:2], 0) + 2)
-            s += math.log(p3)
-            if "\x80" <= g[2] < "\xa0":
-                s -= 8  # control characters are never typed
+        s = sum(self.symbol(g[:2], g[2]) for g in trigrams(w))
         if len(self.cache) > 300_000:
             self.cache.clear()
         self.cache[w] = s
@@ -194,6 +204,80 @@ def label(words: list[str], model: Model) -> list[int]:
     return path
 
 
+_UTF8 = [i for i, steps in enumerate(STATES, 1) if steps[0][0] == "utf-8"]
+_SINGLE = [i for i, steps in enumerate(STATES, 1) if all(len(p) == 2 and p[0] not in ("utf-8", "shift_jis", "euc_jp") for p in steps)]
+
+
+@lru_cache(maxsize=1)
+def _lead() -> re.Pattern:
+    """A character and its follower that may be the bytes of one UTF-8 character in some assumed encoding."""
+    first, follow = set(), set()
+    for true, assumed in PAIRS:
+        if true == "utf-8":
+            t = _bytes_of(assumed)
+            first |= {c for c, b in t.items() if 0xC2 <= b <= 0xF4}
+            follow |= {c for c, b in t.items() if 0x80 <= b <= 0xBF}
+    return re.compile(f"[{re.escape(''.join(first))}][{re.escape(''.join(follow))}]")
+
+
+def _units(word: str, state: int) -> dict[int, tuple[int, str]]:
+    """Start to (stop, original) of the shortest stretches that the state's inverse transform reads by themselves."""
+    steps, out = STATES[state - 1], {}
+    for s, c in enumerate(word):
+        if c < "\x80":
+            continue
+        for e in range(s + 1, min(len(word), s + 4 ** len(steps) * 3) + 1):
+            w: str | None = word[s:e]
+            for p in steps:
+                w = undo(w, p) if w is not None else None
+            if w is not None and len(w) == 1:
+                out[s] = (e, w)
+                break
+            if state in _SINGLE:
+                break
+    return out
+
+
+def label_characters(word: str, model: "Model") -> list[tuple[int, str]]:
+    """(state, text) of the spans of a word, most probable as a whole: the chain over characters.
+
+    A step is a character of the clean state or the shortest stretch a state can read; the trigram model
+    goes on across steps. ASCII belongs to any state. Each garbled span pays for entering its state.
+    """
+    mixed = any(not c.isalnum() for c in word)
+    states = (_UTF8 if _lead().search(word) else []) + (_SINGLE if mixed else [])
+    units = {i: u for i in states if (u := _units(word, i))}
+    if not units:
+        return [(0, word)]
+    # per place and state: score, context, and the way back
+    best: list[dict[int, tuple[float, str, tuple | None]]] = [{} for _ in range(len(word) + 1)]
+    best[0][0] = (0.0, "\x02\x02", None)
+
+    def offer(at: int, state: int, score: float, ctx: str, came: tuple) -> None:
+        if state not in best[at] or score > best[at][state][0]:
+            best[at][state] = (score, ctx, came)
+
+    for s, c in enumerate(word):
+        for state, (score, ctx, _) in list(best[s].items()):
+            for to, (e, w) in [(0, (s + 1, c)), *((i, u[s]) for i, u in units.items() if s in u), *([(state, (s + 1, c))] if state and c < "\x80" else [])]:
+                f = fold(w)
+                way = STAY if to == state else ENTER if to else -1.0
+                offer(e, to, score + (way if to or state else 0.0) + model.symbol(ctx, f), (ctx + f)[-2:], (s, state, w))
+    end = {k: v[0] + model.symbol(v[1], "\x03") for k, v in best[-1].items()}
+    state, at, steps = max(end, key=end.get), len(word), []
+    while at:
+        s, before, w = best[at][state][2]
+        steps.append((state, w))
+        at, state = s, before
+    out: list[tuple[int, str]] = []
+    for state, w in reversed(steps):
+        if out and out[-1][0] == state:
+            out[-1] = (state, out[-1][1] + w)
+        else:
+            out.append((state, w))
+    return out
+
+
 # Names of encodings as reports write them, to one name each.
 _NAMES = {"utf8": "utf-8", "utf-8-sig": "utf-8", "latin1": "latin-1", "iso-8859-1": "latin-1", "windows-1252": "cp1252", "windows-1251": "cp1251", "windows-1256": "cp1256", "windows-1250": "cp1250"}
 
@@ -205,21 +289,24 @@ def repair(text: str | None, model: Model) -> tuple[str | None, bool, bool, str
     parts = SEP.split(text)
     at = [i for i, w in enumerate(parts) if w and not w.isascii()]
     path = label([parts[i] for i in at], model)
-    if not any(path):
-        return text, False, False, None
-    lossy, used = False, {}
+    garbled = lossy = False
+    used: dict[str, int] = {}
     for i, state in zip(at, path):
         if state == LOSSY:
+            garbled = lossy = True
+            continue
+        spans = [(state, dict(readings(parts[i])).get(state))] if state else model.spans(parts[i])
+        if all(k == 0 for k, _ in spans):
+            continue
+        garbled = True
+        if any(w is None for _, w in spans):
             lossy = True
-        elif state:
-            new = dict(readings(parts[i])).get(state)
-            if new is None:
-                lossy = True
-            else:
-                parts[i] = new
-                name = STATES[state - 1][-1][0]
-                used[name] = used.get(name, 0) + 1
-    return "".join(parts), True, not lossy, max(used, key=used.get) if used else None
+            continue
+        parts[i] = "".join(w for _, w in spans)
+        for k in {k for k, _ in spans if k}:
+            name = STATES[k - 1][-1][0]
+            used[name] = used.get(name, 0) + 1
+    return "".join(parts), garbled, garbled and not lossy, max(used, key=used.get) if used else None
 
 
 def words(rows: DataFrame) -> DataFrame:
@@ -243,8 +330,12 @@ def _counts(vocabulary: DataFrame, model: Model | None) -> dict[str, float]:
     frequent as the word itself (or the word a rare one, and the reading very much likelier).
     """
 
+    shared = vocabulary.sparkSession.sparkContext.broadcast(model.n3 if model else None)
+
     @F.pandas_udf(_GUESS)
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(shared.value) if shared.value is not None else None
+
         def one(w: str) -> tuple[str | None, float]:
             if model is None:
                 return ("", 99.0) if suspect(w) else (None, 0.0)
@@ -266,7 +357,7 @@ def _counts(vocabulary: DataFrame, model: Model | None) -> dict[str, float]:
     v = v.join(known, "reading", "left").withColumn("rn", F.coalesce("rn", F.lit(0)))
     garbled = (F.col("odds") > 50) | ((F.col("odds") > 3) & (F.col("rn") >= F.col("n"))) | ((F.col("odds") > 8) & (F.col("n") <= 5 + F.col("rn")))
     g = v.where(~garbled).select(F.explode(grams("word")).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
-    return {r["g"]: float(r["n"]) for r in g.toLocalIterator()}
+    return {r["g"]: float(r["n"]) for r in g.collect()}  # trigrams of folded characters: bounded by alphabets
 
 
 def learn(rows: DataFrame, rounds: int = 2) -> Model:

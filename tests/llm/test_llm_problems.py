@@ -32,6 +32,16 @@ def test_mojibake(spark):
     assert mojibake.found(encoded(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text,want", [("für/fÃ¼r", "für/für"), ("später,größer,kÃ¶nnen", "später,größer,können"), ("naïve–cafÃ©", "naïve–café"), ("für-fÃ¼r-fÃƒÂ¼r", "für-für-für"), ("für/später", "für/später")])
+def test_states_change_within_a_word(text, want):
+    counts = {}
+    for w in "für später größer können naïve café für café naïve".split() * 40 + ["naïve–café"]:
+        for g in mojibake.trigrams(w):
+            counts[g] = counts.get(g, 0.0) + 1
+    model = mojibake.Model(counts)
+    assert mojibake.repair(f"so {text} so", model)[:2] == (f"so {want} so", text != want)
+
+
 @pytest.mark.parametrize("pair", [p for p in mojibake.PAIRS if p[0] in ("utf-8", "cp1252", "cp1251")])
 def test_inverse_transforms(pair):
     true, assumed = pair
