@@ -252,7 +252,8 @@ PII = [
     ("Call 617-555-0139 ext. 7", {"phone"}), ("tel. +44 1632 960364", {"phone"}), ("call five five five zero one three nine today", {"phone"}), ("Order no. 4471-2290-40 was matched", set()), ("on 2031-04-05", set()), ("Build 10.4.80-2031", set()), ("Rechnung 2031 0455 825 ging", set()),
     ("SSN 742-52-3699 given", {"id_number"}), ("shows QQ 96 92 06 A here", {"id_number"}), ("DNI 45726029-M.", {"id_number"}), ("passport no. X67426642", {"id_number"}),
     ("lives at 1868 Linden Mill St., Eastmarlow", {"address"}), ("P.O. Box 959, Oakhollow", {"address"}), ("Kornallee 104a, 01233 Oberkornau", {"address"}), ("26 rue des Calques, 07542 Villebrune", {"address"}), ("Calle Molino Viejo n.º 95, 03207 San Telar", {"address"}), ("Street names were upper-cased", set()),
-    ("Dear Ms. Corvbroke, hello", {"person_name"}), ("signed by Elena Nylostra", {"person_name"}), ("Thanks, Lukas Drolunde", {"person_name"}), ("Brindanova, Priya", {"person_name"}), ("F. Nylholtz signed", {"person_name"}), ("Team Quartz and Harbor Analytics", set()), (None, set()), ("", set()), ("   ", set()),
+    ("Dear Ms. Corvbroke, hello", {"person_name"}), ("signed by Elena Nylostra", {"person_name"}), ("Thanks, Lukas Drolunde", {"person_name"}), ("Brindanova, Priya", {"person_name"}), ("F. Nylholtz signed", {"person_name"}), ("Team Quartz and Harbor Analytics", set()), ("Contact Siobhan Mbeki today", {"person_name"}), ("Bjorn Halvorsen wrote", {"person_name"}), ("J. Chen and A. Wolf signed", {"person_name"}), ("Contact Data Platform first", set()),
+    ("jane dot doe at mail dot com", {"email"}), ("Contacto: 612 345 678", {"phone"}), ("tomorrow 617-555-0123", {"phone"}), ("batch 617-555-0123", set()), (None, set()), ("", set()), ("   ", set()),
 ]
 
 
@@ -264,6 +265,8 @@ def test_pii(text, kinds):
 def test_pii_spans_point_to_the_source(spark):
     t = "Hi ａnna＠example．org, ok\u200b and SSN 742-52-3699."
     assert [t[s:e] for _, s, e in pii.spans(t)] == ["ａnna＠example．org", "742-52-3699"]
+    whole = "ask jane dot doe at mail dot com today"
+    assert [whole[s:e] for _, s, e in pii.spans(whole)] == ["jane dot doe at mail dot com"]
     df = spark.createDataFrame([(1, t, "x"), (2, None, "x"), (3, "nothing " * 5000, "x")], "doc_id long, text string, pii_type string")
     out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
     assert out[1] == "Hi [EMAIL], ok\u200b and SSN [ID_NUMBER]." and out[2] is None and out[3] == "nothing " * 5000
