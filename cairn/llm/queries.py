@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": lambda s, d: overlap.cross_split_pairs(read(s, d, "image_record")),
     "p2_report": _p2_report,
     "p4_found": lambda s, d: lookalike.equal_looking_pairs(read(s, d, "document_data"), "file_id", "full_text"),
+    "p4_classes": lambda s, d: lookalike.equal_looking_classes(read(s, d, "document_data"), "file_id", "full_text"),
     "p4_canonical": lambda s, d: lookalike.canonical(read(s, d, "document_data"), "file_id", "full_text"),
     "p5_found": lambda s, d: scan_noise.found(read(s, d, "document_data")),
     "p5_repaired": lambda s, d: scan_noise.repaired(read(s, d, "document_data")),
