@@ -13,7 +13,7 @@ Two forms are built. The skeleton, by which texts are compared, writes every loo
 it is equal for texts that read the same and for no others (digits, accents, capitals and words that differ
 to the eye differ). The readable form keeps scripts: a word with a letter that only Greek, Cyrillic or
 Armenian has is written in that script, its Latin look-alikes included; a word of letters that both scripts
-have takes the script of most other letters of its text, else Latin. Which letters are a script's own can be
+have takes the script that a fifth of its text shows beyond doubt, else Latin. Which letters are a script's own can be
 seen, so texts that read the same get the same readable form, but for letters a script itself has twice.
 
 Defined results: null texts have a null form, blank texts an empty one and never form a pair. Characters
@@ -48,6 +48,8 @@ UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ" + "".join(chr(c) for c in range(0xFE00,
 SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>"}
 
 
+# Cyrillic letters of few languages, which in a word of shared letters are disguised Latin ones.
+SELDOM = "ѕјԁԛԝһӏѵѡҽЅЈԚԜҺӀҮҒԌѴ"
 #: Scripts whose words keep their letters in the readable form: a name the regular expressions know, and the code points.
 SCRIPTS = {"Cyrillic": (0x400, 0x530), "Greek": (0x370, 0x400), "Armenian": (0x530, 0x590)}
 
@@ -58,10 +60,10 @@ def _in(c: str, script: str) -> bool:
 
 @lru_cache(maxsize=8)
 def _inverse(script: str) -> dict[str, str]:
-    """Latin letter to the script's look-alike, the first of the list."""
+    """Latin letter to the script's look-alike, the first of the list; letters few languages have aren't put in place of Latin ones."""
     out: dict[str, str] = {}
     for c, to in LOOKALIKES.items():
-        if _in(c, script) and len(to) == 1:
+        if _in(c, script) and len(to) == 1 and c not in SELDOM:
             out.setdefault(to, c)
     return out
 
@@ -100,7 +102,7 @@ def mapping_rows(script: str = "") -> list[tuple[str, str]]:
 
 def _pieces() -> tuple[Column, Column]:
     """(pieces of ``_seg``, script of a piece ``cp``) for the readable form; ``_f`` is the text's script, if not Latin."""
-    word = r"[\p{L}\p{M}]"
+    word = r"[\p{L}\p{M}\p{Cf}]"
     own = {s: rf"[\p{{Is{s}}}&&\p{{L}}&&[^{''.join(c for c in LOOKALIKES if _in(c, s))}]]" for s in SCRIPTS}
     any_own = "(?:" + "|".join(own.values()) + ")"
     foreign = rf"{word}*?{any_own}{word}*+"
@@ -108,25 +110,24 @@ def _pieces() -> tuple[Column, Column]:
     split = lambda rx: F.regexp_extract_all("_seg", F.lit(f"(?s){rx}"), F.lit(0))
     cells, script = None, None
     for s, rx in own.items():
-        both = rf"[\p{{Is{s}}}\p{{M}}{''.join(_inverse(s))}]+"
+        both = rf"[\p{{M}}\p{{Cf}}{''.join(_inverse(s))}{''.join(_inverse(s).values())}]+"
         shared = rf"(?<!{word}){both}(?!{word})"
-        mine = split(rf"{foreign}|{shared}|[A-Za-z]++(?!{word})|[\x00-\x08\x0a\x0e-\x40\x5b-\x60\x7b-\x7f]+|.")
+        mine = split(rf"{foreign}|{shared}|[A-Za-z]++(?!{word})|[\x00-\x08\x0a\x0e-\x40\x5b-\x60\x7b-\x7f]+|{word}+|.")
         cells = F.when(F.col("_f") == s, mine) if cells is None else cells.when(F.col("_f") == s, mine)
         hit = F.col("cp").rlike(rx)
         script = F.when(hit, s) if script is None else script.when(hit, s)
     for s in own:
-        script = script.when((F.col("_f") == s) & F.col("cp").rlike(rf"^[\p{{Is{s}}}\p{{M}}{''.join(_inverse(s))}]+$"), s)
+        script = script.when((F.col("_f") == s) & F.col("cp").rlike(rf"^[\p{{M}}\p{{Cf}}{''.join(_inverse(s))}{''.join(_inverse(s).values())}]+$"), s)
     return cells.otherwise(split(rf"{foreign}|{plain}|.")), script.otherwise("")
 
 
 def _text_script(text: Column) -> Column:
-    """The script that most letters of a text show beyond doubt; empty for Latin."""
-    latin = "".join(c for c in map(chr, range(0x41, 0x7B)) if c.isalpha() and all(c not in _inverse(s) for s in SCRIPTS))
-    n = {s: F.regexp_count(text, F.lit(rf"[\p{{Is{s}}}&&\p{{L}}&&[^{''.join(c for c in LOOKALIKES if _in(c, s))}]]")) for s in SCRIPTS}
-    most = F.greatest(*n.values(), F.regexp_count(text, F.lit(f"[{latin}]")))
-    out = F.when(most == F.regexp_count(text, F.lit(f"[{latin}]")), "")
-    for s, c in n.items():
-        out = out.when(c == most, s)
+    """The script of a fifth of a text's characters, by letters that only it has; empty for Latin."""
+    out = None
+    for s in SCRIPTS:
+        own = F.regexp_count(text, F.lit(rf"[\p{{Is{s}}}&&\p{{L}}&&[^{''.join(c for c in LOOKALIKES if _in(c, s))}]]"))
+        hit = own * 5 >= F.length(text)
+        out = F.when(hit, s) if out is None else out.when(hit, s)
     return out.otherwise("")
 
 
@@ -164,7 +165,7 @@ def canonical(df: DataFrame, key: str, text: str, readable: bool = True) -> Data
     if readable:
         parts, script = _pieces()
         el = seg.select("_k", "_f", "_s", F.posexplode(parts).alias("_w", "cp")).withColumn("script", script)
-        chars = F.when((F.col("script") == "") & (F.length("cp") > 1), F.array("cp")).otherwise(F.regexp_extract_all("cp", F.lit("(?s)."), F.lit(0)))
+        chars = F.when((F.col("script") == "") & F.col("cp").rlike(r"^[\x00-\x7f]+$"), F.array("cp")).otherwise(F.regexp_extract_all("cp", F.lit("(?s)."), F.lit(0)))
         el = el.select("_k", "_s", "_w", "script", F.posexplode(chars).alias("_o", "cp")).withColumn("_p", F.shiftleft(F.col("_w").cast("long"), 32).bitwiseOR(F.col("_o").cast("long")))
     else:
         parts = F.expr(r"regexp_extract_all(_seg, '(?s)[\\x00-\\x08\\x0a\\x0e-\\x7f]+|.', 0)")  # plain runs stay whole

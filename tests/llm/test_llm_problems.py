@@ -90,7 +90,7 @@ def test_lookalike(spark):
     long = "wide text " * 3000
     rows = [
         (1, "The café"), (2, "Тhe cafе\u0301"), (3, "Ｔｈｅ\u00a0café"), (4, "Th\u200be café"), (5, "The cafe"), (6, "THE café"), (7, "The café"), (8, None), (9, ""), (10, "  "), (11, "\u200b "),
-        (12, long), (13, long.replace("e", "е")), (14, "70²"), (15, "702"), (16, "q\u0323\u0307"), (17, "q\u0307\u0323"), (18, "x½"), (19, "привет"), (20, "пpивeт"), (21, "τάξη γάμμα σκέψη"), (22, "он и она, а нос растёт"), (23, "pусский тeкст"),
+        (12, long), (13, long.replace("e", "е")), (14, "70²"), (15, "702"), (16, "q\u0323\u0307"), (17, "q\u0307\u0323"), (18, "x½"), (19, "привет"), (20, "пpивeт"), (21, "τάξη γάμμα σκέψη"), (22, "он и она, а нос растёт"), (23, "pусский тeкст"), (24, "проверка саѕе и case"),
     ]
     got = {tuple(r) for r in lookalike.equal_looking_pairs(docs(spark, rows), "file_id", "full_text").collect()}
     same = [1, 2, 3, 4, 7]
@@ -98,7 +98,7 @@ def test_lookalike(spark):
     assert got == want
     form = {r.file_id: r.canonical for r in lookalike.canonical(docs(spark, rows), "file_id", "full_text").collect()}
     assert form[2] == "The café" and form[8] is None and form[9] == "" and form[18] == "x½" and len(form) == len(rows)
-    assert form[21] == "τάξη γάμμα σκέψη" and form[22] == "он и она, а нос растёт" and form[23] == "русский текст" and form[20] == form[19] == "привет"
+    assert form[21] == "τάξη γάμμα σκέψη" and form[22] == "он и она, а нос растёт" and form[23] == "русский текст" and form[20] == form[19] == "привет" and form[24] == "проверка case и case"
     cls = {r.file_id: tuple(r)[1:] for r in lookalike.equal_looking_classes(docs(spark, rows), "file_id", "full_text").collect()}
     assert cls[1] == (1, 4, 3) and cls[2] == (1, 4, 4) and cls[20] == (19, 2, 1) and 5 not in cls
     assert lookalike.canonical(docs(spark, []), "file_id", "full_text").count() == 0
