@@ -1,14 +1,18 @@
 """Problem 5: noise in text from scanned and printed pages.
 
-Method: skip-gram vectors are learned on all pages, rare words are linked to frequent words that they
-become by plausible glyph edits (equal stroke skeletons), the link is kept where the frequent word fits
-the context of the rare one, then furniture (returning header and footer lines, page numbers) is removed
-and the text reflowed into paragraphs.
+Method: skip-gram vectors are learned on all pages; rare words are linked to frequent words that they become
+by plausible glyph edits (equal stroke skeletons) and that are neighbours of their contexts in the vector
+space: a word's fit is how far it lies nearer to the context than words do on average, in deviations. A link
+whose mean fit is below FIT is dropped; where several words are left, each page's own context chooses. Then
+furniture (returning header and footer lines, page numbers) is removed and the text reflowed.
 
 Plan: pages are cut into keys (words, neighbour pairs, line-end joins, spaced words) by one Arrow pass.
 Keys are counted over all data with map-side combining; keys that are noise are found by equi-joins of
 the counted keys, and joined back to the pages' distinct keys. The noise side is replicated over a few
 salts, so that a word of every page is spread over as many tasks. Furniture is found within a document.
+The VOCABULARY most frequent words get vectors, which bounds what the driver holds and what is broadcast; a
+frequent word beyond them has no fit, and its link stands by glyphs and counts alone. Contexts are taken
+where a rare word stands (a filter of fixed size finds the places), so no page is copied beside its tokens.
 
 Defined results: null page texts and documents without pages have no noise. Repeated documents are
 judged each, their words count each. Hard line ends, a title on one page, tables, bullets and item codes
@@ -20,10 +24,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cairn.session import cut, parallelism
@@ -32,6 +37,8 @@ SALTS = 16
 FILTER_BITS = 1 << 25
 #: A word is frequent from this count on; a rare word occurs at most once for RATIO times of its neighbour.
 FREQUENT, RATIO = 8, 12
+#: Words with vectors, and the least mean fit of a link in deviations.
+VOCABULARY, FIT = 100_000, -0.5
 
 # Letters by their strokes, as scanners confuse them.
 STROKES = {"m": "rrl", "n": "rl", "u": "ll", "h": "ll", "d": "cl", "w": "vv", "e": "c", "f": "t", "0": "o", "5": "s", "i": "l", "1": "l", "|": "l", "!": "l", "j": "l", "8": "b", "9": "g", "q": "g", "ü": "ll", "2": "z", "6": "b"}
@@ -74,6 +81,16 @@ def furniture(pages: list[str]) -> list[dict]:
     offsets: Counter = Counter()
     for k, (ls, mine) in enumerate(zip(split, edges)):
         offsets.update({int(m.group()) - k for i in mine if len(ls[i].strip()) < 60 for m in re.finditer(r"(?<![\w.,\-])\d{1,4}(?![\w,\-]|\.\d)", ls[i])})
+    by_length: dict[int, list[str]] = {}
+    for g, n in seen.items():
+        if n >= 2:
+            by_length.setdefault(len(g), []).append(g)
+
+    @lru_cache(maxsize=None)
+    def returns(f: str) -> bool:
+        """Whether a line, or one nearly like it, stands on several pages."""
+        return seen[f] >= 2 or any(g != f and _close(f, g) for n in range(len(f) - 2, len(f) + 3) for g in by_length.get(n, ()))
+
     out = []
     for k, (ls, mine) in enumerate(zip(split, edges)):
         drop, number = set(), False
@@ -81,7 +98,7 @@ def furniture(pages: list[str]) -> list[dict]:
             for i in seq:
                 line = ls[i].strip()
                 f = _fold(line)
-                similar = len(f) >= 4 and title_like(line) and (seen[f] >= 2 or any(g != f and seen[g] >= 2 and abs(len(g) - len(f)) <= 2 and _close(f, g) for g in seen))
+                similar = len(f) >= 4 and title_like(line) and returns(f)
                 plain = bool(_NUMBER.match(line)) and not re.search(r"[.,;:%]$", line) and len(line) <= 14
                 counted = plain and any(offsets[int(m.group()) - k] >= 2 for m in re.finditer(r"\d{1,4}", line))
                 roman = plain and not re.search(r"\d", line) and len(line) <= 8 and line.lower() == line
@@ -166,15 +183,16 @@ def cut_pages(documents: DataFrame) -> DataFrame:
     return src.select("file_id", F.explode(_cut_pages("pages")).alias("p")).select("file_id", "p.*")
 
 
-def noise_keys(pages: DataFrame, vectors: bool = True, seed: int = 1) -> DataFrame:
-    """(key, fix): keys that are noise and the text that replaces them.
+def noise_keys(pages: DataFrame, vectors: bool = True, seed: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """(key, fix): keys that are noise and the text that replaces them; and (file_id, section_index, key, page_fix)
+    of words whose page chooses another fix.
 
-    Words: a rare word whose strokes equal those of a much more frequent word, which in addition fits
-    its contexts in the skip-gram space. Pairs, line-end joins and spaced words: their closed form is a
+    Words: a rare word whose strokes equal those of a much more frequent word, which in addition is a
+    neighbour of its contexts in the skip-gram space. Pairs, line-end joins and spaced words: their closed form is a
     frequent word (or, for joins, a word at all), and much more frequent than the open form.
     """
     counts = cut(pages.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")))
-    kind = lambda k: counts.where(F.col("key").startswith(k + ":")).select(F.substring("key", 3, 400).alias("text"), "n")
+    kind = lambda k: counts.where(F.col("key").startswith(k + ":")).select(F.expr("substring(key, 3)").alias("text"), "n")
     words = kind("w").withColumn("strokes", _strokes("text"))
     frequent = words.where(F.col("n") >= FREQUENT)
     links = (
@@ -183,11 +201,17 @@ def noise_keys(pages: DataFrame, vectors: bool = True, seed: int = 1) -> DataFra
         .select(F.col("r.text").alias("rare"), F.col("r.n").alias("rare_n"), F.col("f.text").alias("word"), F.col("f.n").alias("word_n"))
     )
     links = cut(links)
+    choice = None
     if vectors and not links.isEmpty():
-        links = in_context(pages, links, seed)
+        placed = cut(in_context(pages, links, seed))
+        fits = placed.groupBy("rare", "word", "word_n").agg(F.avg("fit").alias("fit")).where(F.coalesce(F.col("fit") >= FIT, F.lit(True)))
+        several = fits.groupBy("rare").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rare")
+        own = placed.join(fits.select("rare", "word"), ["rare", "word"]).join(several, "rare")
+        choice = own.groupBy("file_id", "section_index", "rare").agg(F.max_by("word", F.struct("fit", "word_n", "word")).alias("page_fix"))
+        choice = choice.withColumn("key", F.concat(F.lit("w:"), "rare")).drop("rare")
     else:
-        links = links.withColumn("fit", F.lit(0.0))
-    best = links.groupBy("rare").agg(F.max_by("word", F.struct("fit", "word_n", "word")).alias("fix"))
+        fits = links.withColumn("fit", F.lit(0.0))
+    best = fits.groupBy("rare").agg(F.max_by("word", F.struct("fit", "word_n", "word")).alias("fix"))
     misread = best.select(F.concat(F.lit("w:"), "rare").alias("key"), "fix")
 
     plain = words.select("text", F.col("n").alias("word_n"))
@@ -210,33 +234,78 @@ def noise_keys(pages: DataFrame, vectors: bool = True, seed: int = 1) -> DataFra
 
     spaced = kind("s").join(plain.select("text", "word_n"), "text", "left").where(F.col("word_n").isNotNull() | (F.length("text") >= 5))
     spaced = spaced.select(F.concat(F.lit("s:"), "text").alias("key"), F.col("text").alias("fix"))
-    return misread.union(splits).union(broken).union(spaced).union(counts.where(F.col("key") == "e:").select("key", F.lit("").alias("fix")))
+    return misread.union(splits).union(broken).union(spaced).union(counts.where(F.col("key") == "e:").select("key", F.lit("").alias("fix"))), choice
+
+
+def _vectors(tokens: DataFrame, seed: int, reach: int) -> tuple[list[str], np.ndarray]:
+    """The VOCABULARY most frequent words of at least FREQUENT occurrences and their skip-gram vectors, of length one."""
+    count = tokens.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    sizes = count.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    least, held = FREQUENT, 0
+    for r in sizes.orderBy(F.desc("n")).limit(VOCABULARY).collect():  # one row per count, from the greatest
+        if held and held + r["words"] > VOCABULARY:
+            break
+        held, least = held + r["words"], r["n"]
+    if not held:
+        return [], np.zeros((0, 1))
+    parts = parallelism(tokens.sparkSession)
+    model = Word2Vec(vectorSize=24, minCount=least, windowSize=reach, maxIter=1, stepSize=0.025, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v", maxSentenceLength=400).fit(tokens)
+    got = model.getVectors().toPandas()
+    v = np.array([x.toArray() for x in got["vector"]])
+    return got["word"].tolist(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+_PLACED = T.ArrayType(T.StructType([T.StructField("rare", T.StringType()), T.StructField("ctx", T.ArrayType(T.FloatType()))]))
 
 
 def in_context(pages: DataFrame, links: DataFrame, seed: int, reach: int = 4) -> DataFrame:
-    """``links`` with ``fit``: the mean cosine of the frequent word with the words around the rare one.
+    """(file_id, section_index, rare, word, word_n, fit) of every page a rare word stands on.
 
-    Skip-gram vectors are learned over all pages; words under FREQUENT occurrences get none, which
-    bounds the vocabulary the driver holds. A link is dropped if the word fits clearly worse than the
-    rare word's contexts fit words in general.
+    ``fit``: the cosine of the linked word and the mean vector of the words around, less the mean cosine of
+    all words with it, in deviations; null where the word has no vector or the context none.
     """
     clean = F.regexp_replace(F.lower("rest"), r"[^\p{L}\p{N}_|’']+", " ")
     tokens = pages.select("file_id", "section_index", F.filter(F.split(F.trim(clean), " "), lambda w: F.length(w) > 0).alias("tokens")).where(F.size("tokens") > 1)
     spark = pages.sparkSession
-    model = Word2Vec(vectorSize=24, minCount=FREQUENT, windowSize=reach, maxIter=1, stepSize=0.025, numPartitions=min(8, parallelism(spark)), seed=seed, inputCol="tokens", outputCol="v", maxSentenceLength=400).fit(tokens)
-    vec = model.getVectors().select("word", F.transform(vector_to_array(F.col("vector")), lambda x: x.cast("float")).alias("v"))
-    vec = vec.withColumn("v", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y))))
-    rare = links.select("rare").distinct()
-    at = tokens.select("file_id", "section_index", "tokens", F.posexplode("tokens").alias("pos", "rare"))
-    occ = at.join(rare, "rare", "left_semi")
-    around = occ.select("rare", F.explode(F.slice("tokens", F.greatest(F.col("pos") + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))).alias("word")).where(F.col("word") != F.col("rare"))
-    around = around.groupBy("rare", "word").agg(F.count("*").alias("c"))
-    ctx = around.join(vec, "word").select("rare", "c", F.posexplode("v").alias("i", "x")).groupBy("rare", "i").agg(F.sum(F.col("x") * F.col("c")).alias("x"))
-    ctx = ctx.groupBy("rare").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("ctx"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    fit = dot(F.col("ctx"), F.col("v")) / F.greatest(F.sqrt(dot(F.col("ctx"), F.col("ctx"))), F.lit(1e-9))
-    scored = links.join(ctx, "rare", "left").join(vec, "word", "left").withColumn("fit", F.coalesce(fit, F.lit(0.0)))
-    return scored.where(F.col("fit") > -0.3).select("rare", "rare_n", "word", "word_n", "fit")
+    words, v = _vectors(tokens, seed, reach)
+    mean = v.mean(0) if len(v) else np.zeros(v.shape[1])
+    spread = np.cov(v.T, bias=True).reshape(v.shape[1], v.shape[1]) if len(v) > 1 else np.zeros((v.shape[1],) * 2)
+    shared = spark.sparkContext.broadcast((words, v.astype(np.float32)))
+    rare_bits = _bloom(links.select(F.col("rare").alias("key")).distinct())
+
+    @F.pandas_udf(_PLACED)
+    def around(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names, vec = shared.value
+        at = {w: i for i, w in enumerate(names)}
+        bits = rare_bits.value
+
+        def one(toks, hashes) -> list[dict]:
+            out = []
+            for i in np.nonzero(_may_hold(bits, np.asarray(hashes, dtype=np.int64)))[0]:
+                near = [at[w] for w in (*toks[max(0, i - reach) : i], *toks[i + 1 : i + 1 + reach]) if w in at and w != toks[i]]
+                out.append({"rare": toks[i], "ctx": vec[near].mean(0).tolist() if near else None})
+            return out
+
+        for toks, hashes in batches:
+            yield pd.Series([one(a, b) for a, b in zip(toks, hashes)])
+
+    @F.pandas_udf(T.DoubleType())
+    def fit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names, vec = shared.value
+        at = {w: i for i, w in enumerate(names)}
+
+        def one(ctx, word) -> float | None:
+            if ctx is None or word not in at:
+                return None
+            c = np.asarray(ctx, dtype=float)
+            return float(c @ (vec[at[word]] - mean) / max(np.sqrt(max(c @ spread @ c, 0.0)), 1e-9))
+
+        for ctx, word in batches:
+            yield pd.Series([one(a, b) for a, b in zip(ctx, word)], dtype="float64")
+
+    placed = tokens.select("file_id", "section_index", F.explode(around("tokens", F.transform("tokens", lambda w: F.xxhash64(w)))).alias("p")).select("file_id", "section_index", "p.*")
+    per = placed.join(links.select("rare", "word", "word_n"), "rare").withColumn("fit", fit("ctx", "word"))
+    return per.groupBy("file_id", "section_index", "rare", "word", "word_n").agg(F.avg("fit").alias("fit"))
 
 
 def _bits(h: Column) -> list[Column]:
@@ -244,46 +313,53 @@ def _bits(h: Column) -> list[Column]:
     return [F.pmod(F.shiftrightunsigned(h, 21 * i), F.lit(FILTER_BITS)) for i in range(3)]
 
 
-def _filtered(pages: DataFrame, noise: DataFrame) -> DataFrame:
-    """(file_id, section_index, key) of the pages' keys that may be noise.
-
-    A Bloom filter of a fixed size is built from the noise keys (only the places of bits reach the driver,
-    at most FILTER_BITS / 64 longs) and broadcast; it drops nearly all keys before the join, which stays exact.
-    """
-    import numpy as np
-
-    place = noise.select(F.explode(F.array(*_bits(F.xxhash64("key")))).alias("b"))
+def _bloom(keys: DataFrame):
+    """A broadcast filter of a fixed size over ``key``: only the places of bits reach the driver, at most FILTER_BITS / 64 longs."""
+    place = keys.select(F.explode(F.array(*_bits(F.xxhash64("key")))).alias("b"))
     words_ = place.groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("v"))
     got = words_.toPandas()
     filt = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     filt[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64)
-    shared = pages.sparkSession.sparkContext.broadcast(filt.view(np.uint8))
+    return keys.sparkSession.sparkContext.broadcast(filt.view(np.uint8))
+
+
+def _may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each of the hashes (longs)."""
+    ok, h = np.ones(len(hashes), dtype=bool), hashes.view(np.uint64)
+    for i in range(3):
+        at = ((h >> np.uint64(21 * i)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        ok &= (bits[at >> 3] >> (at & 7)) & 1 == 1
+    return ok
+
+
+def _filtered(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """(file_id, section_index, key) of the pages' keys that may be noise: nearly all others go before the join, which stays exact."""
+    shared = _bloom(noise)
 
     @F.pandas_udf(T.BooleanType())
-    def maybe(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        bits = shared.value
-        ok = np.ones(len(a), dtype=bool)
-        for s in (a, b, c):
-            i = s.to_numpy(dtype=np.int64)
-            ok &= (bits[i >> 3] >> (i & 7)) & 1 == 1
-        return pd.Series(ok)
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(_may_hold(shared.value, h.to_numpy(dtype=np.int64)))
 
     mine = pages.select("file_id", "section_index", F.explode("keys").alias("key"))
-    return mine.where(maybe(*_bits(F.xxhash64("key"))))
+    return mine.where(maybe(F.xxhash64("key")))
 
 
-def _hits(pages: DataFrame, noise: DataFrame) -> DataFrame:
+def _hits(pages: DataFrame) -> DataFrame:
     """(file_id, section_index, key, fix): the noise keys of each page; frequent keys are spread over salts."""
+    noise, choice = noise_keys(pages)
     noise = cut(noise)
     mine = _filtered(pages, noise).withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int"))
     theirs = noise.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return mine.join(theirs, ["key", "salt"]).select("file_id", "section_index", "key", "fix")
+    out = mine.join(theirs, ["key", "salt"]).select("file_id", "section_index", "key", "fix")
+    if choice is None:
+        return out
+    return out.join(choice, ["file_id", "section_index", "key"], "left").select("file_id", "section_index", "key", F.coalesce("page_fix", "fix").alias("fix"))
 
 
 def found(documents: DataFrame) -> DataFrame:
     """(file_id, section_index) of every page with noise."""
     pages = cut(cut_pages(documents))
-    hits = _hits(pages, noise_keys(pages)).select("file_id", "section_index")
+    hits = _hits(pages).select("file_id", "section_index")
     return hits.union(pages.where("furniture").select("file_id", "section_index")).distinct()
 
 
@@ -331,7 +407,7 @@ def _reflow(pages: pd.Series) -> pd.Series:
 def repaired(documents: DataFrame) -> DataFrame:
     """(file_id, text): each document with pages as continuous paragraphs."""
     pages = cut(cut_pages(documents))
-    fixes = _hits(pages, noise_keys(pages)).groupBy("file_id", "section_index").agg(F.map_from_entries(F.collect_set(F.struct("key", "fix"))).alias("fixes"))
+    fixes = _hits(pages).groupBy("file_id", "section_index").agg(F.map_from_entries(F.collect_set(F.struct("key", "fix"))).alias("fixes"))
     fixed = pages.join(fixes, ["file_id", "section_index"], "left").select("file_id", "section_index", _repair("rest", "fixes").alias("t"))
     per = fixed.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "t"))), lambda s: s["t"]).alias("pages"))
     return per.select("file_id", _reflow("pages").alias("text"))

@@ -128,6 +128,19 @@ def test_scan_noise(spark):
     assert scan_noise.found(scans(spark, [])).count() == 0
 
 
+def test_context_decides(spark):
+    """"dear" and "mcdian" could both be misread; only the second stands where the frequent word does."""
+    data = ["the audit found a clear median of every column and kept the rows", "a clear score of the column shows the median of rows in the audit", "every column has a clear audit and a median score for its rows"]
+    talk = ["my dear friend sent letters from a quiet village near our river", "old songs from our quiet village made my dear friend happy", "our dear neighbours sang songs near my river with letters"]
+    rows = [(i, [data[i % 3], data[(i + 1) % 3]]) for i in range(150)] + [(1000 + i, [talk[i % 3]]) for i in range(18)] + [(2000 + i, [talk[i % 3].replace("dear", "kind")]) for i in range(120)]
+    rows += [(3000, [data[0].replace("median", "mcdian")])] + [(4000, ["long words " + "x" * 500 + "1ong end"])] + [(4001 + i, ["long words " + "x" * 500 + "long end"]) for i in range(20)]
+    pages = scan_noise.cut(scan_noise.cut_pages(scans(spark, rows)))
+    keys = {v: {r.key: r.fix for r in scan_noise.noise_keys(pages, vectors=v)[0].collect()} for v in (True, False)}
+    assert keys[False]["w:dear"] == "clear" and "w:dear" not in keys[True]
+    assert keys[True]["w:mcdian"] == "median"
+    assert keys[True]["w:" + "x" * 500 + "1ong"] == "x" * 500 + "long"  # whole keys, however long
+
+
 MARKED = ["<p>One</p>", "a &amp; b", "# Title", "**bold** word", "- item", "see [x](y.md)", "''it'' is", "== Head ==", "{{tpl}} x", "\\textbf{x}", "a\\_b", "$$\\alpha$$", "x\n===\ny", "stray </b> tag", "`code`", "> quote", "|-\n| a || b"]
 PLAIN = ["a < b and c > d", "costs $5 to $9", "2 * 3 * 4", "D:\\feeds\\old", "• point", "for (i = 0; i < n; i++) {\n  t = t + w[i] * x[i];\n}", "SELECT COUNT(*) AS n", "a_b and c_d", "R&D", "Use x -> y", "See [note 4]", "C# and F#", "3 | 4 | 9", "ratio a/b~5", "70^2", "Rule #1", "- 12 -", "# comment in shell\nload --feed churn --since 3", "x = 1\n# twice\ny = x * 2", "def f(a):\n    return a\n# done", None, "", "  "]
 
