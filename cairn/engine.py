@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.operators import clean, drift, outliers, profile, quality
+from cairn.operators import audits, change, clean, outliers, profile, quality, statistics
 from cairn.sources import readers, sql
 
 # The steps of each goal.
@@ -74,7 +74,43 @@ class Engine:
         return out
 
     def compare(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """Numeric drift from a to b over the columns both have."""
-        names = [c for c in profile.numeric_columns(a.schema) if c in profile.numeric_columns(b.schema)]
-        both = a.select(*names, F.lit(True).alias("_a")).union(b.select(*names, F.lit(False).alias("_a")))
-        return drift.numeric_drift(both, names, F.col("_a"))
+        """What changed from a to b: schema, numbers, categories and gaps, a row per changed column."""
+        return change.table_changes(a, b)
+
+    def audit_leakage(self, train: DataFrame, test: DataFrame | None, target: str, **options) -> dict[str, DataFrame]:
+        found = audits.leakage(train, test, target, **options)
+        return {"findings": found, "score": audits.leakage_score(found)}
+
+    def audit_labels(self, df: DataFrame, label: str, features: list[str], **options) -> dict[str, DataFrame]:
+        dims = audits.label_quality(df, label, features, **options)
+        return {"dimensions": dims, "score": audits.overall(dims)}
+
+    def audit_bias(self, df: DataFrame, groups: list[str], label, **options) -> dict[str, DataFrame]:
+        found = audits.bias(df, groups, label, **options)
+        return {"findings": found, "score": audits.bias_score(found)}
+
+    def audit_training(self, train: DataFrame, test: DataFrame | None, target: str, groups: list[str], positive) -> dict[str, DataFrame]:
+        """Labels, leakage and bias of a training table, one after the other; a part that fails doesn't stop the others."""
+        features = [c for c in train.columns if c != target and c not in groups]
+        parts = {"labels": lambda: self.audit_labels(train, target, features), "leakage": lambda: self.audit_leakage(train, test, target), "bias": lambda: self.audit_bias(train, groups, positive)}
+        out, errors = {}, {}
+        for name, part in parts.items():
+            try:
+                out |= {f"{name}_{k}": v for k, v in part().items()}
+            except Exception as e:  # noqa: BLE001
+                errors[name] = str(e)
+        if errors:
+            out["errors"] = self.spark.createDataFrame(list(errors.items()), "part string, error string")
+        return out
+
+    def find_outliers(self, df: DataFrame, key: str, names: list[str], share: float = 0.5) -> DataFrame:
+        """Rows on which at least ``share`` of the detectors agree."""
+        return outliers.consensus(df, key, names, share)
+
+    def compare_groups(self, df: DataFrame, group: str, names: list[str]) -> DataFrame:
+        """The fitting test of each column between groups."""
+        out = None
+        for c in names:
+            row = statistics.compare_groups(df, group, c).select(F.lit(c).alias("column_name"), "*")
+            out = row if out is None else out.union(row)
+        return out

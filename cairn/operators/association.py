@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions import distributions as D
-from cairn.operators.profile import finite
-from cairn.operators.relational import running
+from cairn.operators.profile import corr, finite
+from cairn.operators.relational import quantiles, running
 
 
 def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     v = {c: finite(df.schema, c) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     both = lambda a, b: v[a].isNotNull() & v[b].isNotNull()
-    wide = df.agg(*[F.struct(F.corr(F.when(both(a, b), v[a]), F.when(both(a, b), v[b])).alias("r"), F.count_if(both(a, b)).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[F.struct(corr(v[a], v[b]).alias("r"), F.count_if(both(a, b)).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}.r").alias("r"), F.col(f"p{i}.n").alias("n")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
@@ -35,7 +35,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(r, n): Pearson's correlation of average ranks over pairwise complete rows."""
     x = df.select(finite(df.schema, a).alias("a"), finite(df.schema, b).alias("b")).dropna()
     x = x.join(_ranked(x, "a"), F.col("a") == F.col("_a")).join(_ranked(x, "b"), F.col("b") == F.col("_b"))
-    return x.agg(F.corr("rank_a", "rank_b").alias("r"), F.count(F.lit(1)).alias("n"))
+    return x.agg(corr(F.col("rank_a"), F.col("rank_b")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -80,8 +80,8 @@ def mutual_information(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFra
 def partial_correlation(df: DataFrame, a: str, b: str, control: str) -> DataFrame:
     """(r): correlation of two columns with the third held fixed."""
     x = df.select(*[finite(df.schema, c).alias(n) for c, n in ((a, "a"), (b, "b"), (control, "z"))]).dropna()
-    r = x.agg(F.corr("a", "b").alias("ab"), F.corr("a", "z").alias("az"), F.corr("b", "z").alias("bz"))
-    return r.select(((F.col("ab") - F.col("az") * F.col("bz")) / F.sqrt((1 - F.col("az") ** 2) * (1 - F.col("bz") ** 2))).alias("r"))
+    r = x.agg(corr(F.col("a"), F.col("b")).alias("ab"), corr(F.col("a"), F.col("z")).alias("az"), corr(F.col("b"), F.col("z")).alias("bz"))
+    return r.select(((F.col("ab") - F.col("az") * F.col("bz")) / F.nullif(F.sqrt((1 - F.col("az") ** 2) * (1 - F.col("bz") ** 2)), F.lit(0.0))).alias("r"))
 
 
 def correlation_array(df: DataFrame, names: list[str]) -> np.ndarray:
@@ -191,13 +191,14 @@ def fit_distributions(df: DataFrame, name: str) -> DataFrame:
     """(distribution, aic, p1, p2): maximum likelihood in closed form for seven families, one scan."""
     v = finite(df.schema, name)
     pos = F.when(v > 0, v)
-    s = df.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.min(v).alias("a"), F.max(v).alias("b"), F.avg(F.log(pos)).alias("lm"), F.stddev_pop(F.log(pos)).alias("ls"), F.count(pos).alias("np"), F.avg(v * v).alias("m2"), F.median(v).alias("med")).first()
+    s = df.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.min(v).alias("a"), F.max(v).alias("b"), F.avg(F.log(pos)).alias("lm"), F.stddev_pop(F.log(pos)).alias("ls"), F.count(pos).alias("np"), F.avg(v * v).alias("m2")).first()
     n, out = s["n"], []
     if n and s["s"]:
         out.append(("normal", n * (math.log(2 * math.pi * s["s"] ** 2) + 1) + 4, s["m"], s["s"]))
         out.append(("uniform", 2 * n * math.log(s["b"] - s["a"]) + 4, s["a"], s["b"]))
-        dev = df.agg(F.avg(F.abs(v - s["med"])).alias("d")).first()["d"]
-        out.append(("laplace", 2 * n * (math.log(2 * dev) + 1) + 4, s["med"], dev))
+        med = quantiles(df, {name: v}, [0.5]).first()["q"][0]
+        dev = df.agg(F.avg(F.abs(v - med)).alias("d")).first()["d"]
+        out.append(("laplace", 2 * n * (math.log(2 * dev) + 1) + 4, med, dev))
         if s["np"] == n:
             out.append(("exponential", 2 * n * (math.log(s["m"]) + 1) + 2, s["m"], None))
             if s["ls"]:

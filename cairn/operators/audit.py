@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.operators.profile import finite
+from cairn.operators.profile import corr, finite
 
 
 def group_leakage(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
@@ -140,8 +140,8 @@ def mantel_haenszel(df: DataFrame, stratum: str, a: Column, b: Column) -> DataFr
 def simpson(df: DataFrame, stratum: str, a: str, b: str, floor: int = 10) -> DataFrame:
     """(overall, strata, reversed, paradox): correlations within strata against the overall sign."""
     va, vb = finite(df.schema, a), finite(df.schema, b)
-    o = df.agg(F.corr(va, vb).alias("overall"))
-    g = df.select(F.col(stratum).alias("s"), va.alias("a"), vb.alias("b")).dropna().groupBy("s").agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= floor) & F.col("r").isNotNull())
+    o = df.agg(corr(va, vb).alias("overall"))
+    g = df.select(F.col(stratum).alias("s"), va.alias("a"), vb.alias("b")).dropna().groupBy("s").agg(corr(F.col("a"), F.col("b")).alias("r"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= floor) & F.col("r").isNotNull())
     x = g.crossJoin(F.broadcast(o)).groupBy("overall").agg(F.count(F.lit(1)).alias("strata"), F.count_if(F.signum("r") * F.signum("overall") < 0).alias("reversed"))
     return x.withColumn("paradox", F.col("reversed") >= 0.6 * F.col("strata"))
 

@@ -10,8 +10,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.operators.profile import finite, numeric_columns, text_columns, value
-from cairn.operators.relational import running
+from cairn.operators.profile import cell_counts, finite, numeric_columns, text_columns, value
+from cairn.operators.relational import quantiles, running
 from cairn.session import cut
 
 
@@ -41,7 +41,13 @@ def handle_missing(df: DataFrame, how: str, names: list[str] | None = None, fill
     names = names or df.columns
     if how == "drop":
         return df.where(~F.greatest(*[value(df.schema, c).isNull() for c in names], F.lit(False)))
-    stats = df.agg(*[replacement(df, c, how, fill).alias(f"_r_{c}") for c in names])
+    middle = [c for c in names if how == "median" and c not in text_columns(df.schema)]
+    rest = [replacement(df, c, how, fill).alias(f"_r_{c}") for c in names if c not in middle]
+    stats = df.agg(*rest) if rest else None
+    if middle:  # exact medians from value counts, so that no buffer holds a column
+        q = quantiles(df, {c: value(df.schema, c) for c in middle}, [0.5]).select("column_name", F.round(F.col("q")[0], 4).alias("m"))
+        wide = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("m"))).alias(f"_r_{c}") for c in middle])
+        stats = wide if stats is None else stats.crossJoin(wide)
     out = df.crossJoin(F.broadcast(stats))  # one row
     cells = [F.coalesce(value(df.schema, c), F.col(f"_r_{c}").cast("double" if how in ("mean", "median") and c in numeric_columns(df.schema) else df.schema[c].dataType)).alias(c) if c in names else F.col(c) for c in df.columns]
     return out.select(*cells)
@@ -202,8 +208,10 @@ def contracts(df: DataFrame) -> DataFrame:
     parts = []
     for c in df.columns:
         v = value(df.schema, c)
-        parts.append(F.struct(F.lit(c).alias("c"), (F.count_if(v.isNull()) / n).alias("miss"), F.count_distinct(v).alias("d"), F.lit(c in texts).alias("t")))
+        parts.append(F.struct(F.lit(c).alias("c"), (F.count_if(v.isNull()) / n).alias("miss"), F.lit(c in texts).alias("t")))
     rows = df.agg(n.alias("n"), F.array(*parts).alias("p")).select("n", F.explode("p").alias("p")).select("n", "p.*")
+    counted = cell_counts(df, df.columns).groupBy(F.col("column_name").alias("c")).agg(F.count(F.lit(1)).alias("d"))
+    rows = rows.join(F.broadcast(counted), "c", "left").withColumn("d", F.coalesce("d", F.lit(0)))
     v = F.array_compact(F.array(
         F.when(F.col("miss") > 0.35, F.struct(F.lit("missing").alias("violation"), F.when(F.col("miss") > 0.6, "high").otherwise("medium").alias("severity"), F.round("miss", 4).alias("measure"))),
         F.when(F.col("d") <= 1, F.struct(F.lit("constant").alias("violation"), F.lit("medium").alias("severity"), F.col("d").cast("double").alias("measure"))),
@@ -236,17 +244,24 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def infer_rules(df: DataFrame) -> DataFrame:
     """(column_name, kind, required, is_unique, min_value, max_value, allowed): rules that hold in the table."""
     s, nums = df.schema, set(numeric_columns(df.schema))
+    counts = cell_counts(df, df.columns)
+    d = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("d"))
+    few = d.where("d <= 20").select("column_name")  # only these values are gathered
+    texts = [f.name for f in s if f.dataType.simpleString() == "string"]
+    allowed = counts.join(F.broadcast(few), "column_name").where(F.col("column_name").isin(texts)).groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("allowed"))
     items = []
     for f in s:
         v = value(s, f.name)
         num = f.name in nums
         items.append(F.struct(
             F.lit(f.name).alias("column_name"), F.lit("numeric" if num else "date" if f.dataType.simpleString() in ("timestamp", "timestamp_ntz", "date") else "text").alias("kind"),
-            (F.count_if(v.isNull()) == 0).alias("required"), (F.count_distinct(v) == F.count(F.lit(1))).alias("is_unique"),
+            (F.count_if(v.isNull()) == 0).alias("required"), F.count(F.lit(1)).alias("n"),
             (F.round(F.min(v.cast("double")), 4) if num else F.lit(None).cast("double")).alias("min_value"), (F.round(F.max(v.cast("double")), 4) if num else F.lit(None).cast("double")).alias("max_value"),
-            (F.lit(None).cast("string") if num else F.when(F.count_distinct(v) <= 20, F.array_join(F.array_sort(F.collect_set(F.when(F.lit(f.dataType.simpleString() == "string"), v.cast("string")))), "|"))).alias("allowed"),
         ))
-    return df.agg(F.array(*items).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    x = df.agg(F.array(*items).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    x = x.join(F.broadcast(d), "column_name", "left").join(F.broadcast(allowed), "column_name", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    gathered = F.when((F.col("kind") != "numeric") & (F.col("d") <= 20), F.coalesce("allowed", F.lit("")))
+    return x.select("column_name", "kind", "required", (F.col("d") == F.col("n")).alias("is_unique"), "min_value", "max_value", gathered.alias("allowed"))
 
 
 def safe_cell(c: Column) -> Column:

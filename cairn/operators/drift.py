@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.profile import finite
+from cairn.operators.relational import quantiles
 
 
 def numeric_drift(df: DataFrame, names: list[str], side: Column) -> DataFrame:
@@ -55,8 +56,7 @@ def divergence(dist: DataFrame) -> DataFrame:
 
 def label_windows(df: DataFrame, order: str, label: str, windows: int = 5) -> DataFrame:
     """(win, label, n, share): class shares in windows of equal time quantiles, found without sorting rows."""
-    cuts = ", ".join(str(i / windows) for i in range(1, windows))
-    q = df.agg(F.expr(f"percentile(`{order}`, array({cuts}))").alias("q"))
+    q = quantiles(df, {order: F.col(order)}, [i / windows for i in range(1, windows)]).select("q")
     win = F.size(F.filter(F.col("q"), lambda x: x < F.col(order)))
     c = df.crossJoin(F.broadcast(q)).groupBy(win.alias("win"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("win")))

@@ -12,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from cairn.operators.profile import _sql, finite
+from cairn.operators.profile import finite
+from cairn.operators.relational import quantiles
+from cairn.session import cut
 
 
 def quartile_bounds(df: DataFrame, name: str, k: float = 1.5) -> DataFrame:
-    """(lo, hi, iqr)."""
-    q = df.agg(F.expr(f"percentile({_sql(df, name)}, array(0.25, 0.75))").alias("q"))
+    """(lo, hi, iqr), the quartiles from value counts."""
+    q = quantiles(df, {name: finite(df.schema, name)}, [0.25, 0.75])
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.select((F.col("q")[0] - k * iqr).alias("lo"), (F.col("q")[1] + k * iqr).alias("hi"), iqr.alias("iqr"))
 
@@ -49,6 +51,20 @@ def by_median(df: DataFrame, key: str, name: str, limit: float = 3.5) -> DataFra
     return x.where(hit).select(key, "value", z.alias("score"))
 
 
+def consensus(df: DataFrame, key: str, names: list[str], share: float = 0.5) -> DataFrame:
+    """(key, votes, fraction): the univariate rules together as one vote, each multivariate detector as another.
+
+    Rows flagged by at least ``share`` of the detectors (univariate, Mahalanobis, isolation forest).
+    """
+    found = [vote(df, key, names).select(key), by_mahalanobis(df, key, names).select(key), isolation_forest(df, key, names).select(key)]
+    hits = None
+    for i, f in enumerate(found):
+        f = f.distinct().withColumn("kind", F.lit(i))
+        hits = f if hits is None else hits.union(f)
+    v = hits.groupBy(key).agg(F.count(F.lit(1)).alias("votes")).withColumn("fraction", F.col("votes") / len(found))
+    return v.where(F.col("fraction") >= share)
+
+
 def vote(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(key, votes): how many of quartile rule, z-score and modified z-score flag any of the columns."""
     kinds = [(by_quartiles, 0), (by_zscore, 1), (by_median, 2)]
@@ -170,7 +186,7 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = 50,
             walk(t, np.arange(len(a)))
         return pd.Series(2.0 ** (-(total / len(forest)) / norm))
 
-    scored = full.select(key, score(F.struct(*cols)).alias("score"))
+    scored = cut(full.select(key, score(F.struct(*cols)).alias("score")))  # scored once, for the bound and the result
     bound = scored.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("b"))
     return scored.crossJoin(F.broadcast(bound)).where("score >= b").select(key, "score")
 
@@ -178,7 +194,6 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = 50,
 def local_outlier_factor(df: DataFrame, key: str, names: list[str], k: int = 10, contamination: float = 0.05) -> DataFrame:
     """(key, score): local outlier factor over the exact nearest neighbours, columns scaled to their ranges."""
     from cairn.operators.clean import nearest_rows
-    from cairn.session import cut
 
     lim = df.agg(*[F.struct(F.min(finite(df.schema, c)).alias("a"), F.max(finite(df.schema, c)).alias("b")).alias(f"r{i}") for i, c in enumerate(names)]).first()
     xs = [((finite(df.schema, c) - F.lit(lim[f"r{i}"]["a"])) / max((lim[f"r{i}"]["b"] or 0) - (lim[f"r{i}"]["a"] or 0), 1e-12)) for i, c in enumerate(names)]
@@ -188,6 +203,7 @@ def local_outlier_factor(df: DataFrame, key: str, names: list[str], k: int = 10,
     reach = nb.join(kd.select(F.col("k").alias("o"), F.col("kd").alias("okd")), "o").select("k", "o", F.greatest("d", "okd").alias("rd"))
     lrd = reach.groupBy("k").agg((1 / (F.avg("rd") + 1e-12)).alias("lrd"))
     lof = nb.join(lrd.select(F.col("k").alias("o"), F.col("lrd").alias("ol")), "o").groupBy("k").agg(F.avg("ol").alias("ol")).join(lrd, "k").select(F.col("k").alias(key), (F.col("ol") / F.col("lrd")).alias("score"))
+    lof = cut(lof)
     bound = lof.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("b"))
     return lof.crossJoin(F.broadcast(bound)).where("score >= b").select(key, "score")
 

@@ -30,6 +30,13 @@ def finite(schema: StructType, name: str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def corr(a: Column, b: Column) -> Column:
+    """Pearson's correlation over the rows that have both; null without spread on either side."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def _long(wide: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
     """One row of a struct per column to one row per column."""
     items = F.array(*[F.struct(F.lit(n).alias("column_name"), *[F.col(f"`{n}`.{f}").alias(f) for f in fields]) for n in names])
@@ -70,6 +77,12 @@ def quick_profile(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     return _long(df.agg(*aggs), s.names, fields)
 
 
+def cell_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column_name, v, n): how often each value occurs, as text, of all columns in one shuffle; missing ones left out."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), value(df.schema, c).cast("string").alias("v")) for c in names]))
+    return df.select(cells.alias("x")).select("x.*").where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def missing_values(df: DataFrame) -> DataFrame:
     """(column_name, missing)."""
     wide = df.agg(*[F.count_if(value(df.schema, c).isNull()).alias(c) for c in df.columns])
@@ -89,39 +102,51 @@ def hash_duplicates(df: DataFrame) -> DataFrame:
 
 
 def descriptive(df: DataFrame, names: list[str], exact: bool = True) -> DataFrame:
-    """Count, moments, quartiles and shape of each column; kurtosis in excess of the normal one."""
+    """Count, moments, quartiles and shape of each column; kurtosis in excess of the normal one.
+
+    Quartiles are exact, from value counts of all columns in one pass, or with ``exact=False`` from sketches.
+    """
+    from cairn.operators.relational import quantiles
+
     fields = ["n", "nan_count", "mean_value", "std_pop", "std_samp", "var_samp", "min_value", "max_value", "range_value", "sum_value", "q1", "median_value", "q3", "iqr", "skew", "kurt", "cv_pct"]
     aggs = []
     for c in names:
         v = finite(df.schema, c)
-        q = F.expr(f"percentile({_sql(df, c)}, array(0.25, 0.5, 0.75))") if exact else F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000) if not exact else F.array(*[F.lit(None).cast("double")] * 3)
         aggs.append(F.struct(
             F.count(v).alias("n"), (F.count(F.lit(1)) - F.count(v)).alias("nan_count"), F.avg(v).alias("mean_value"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std_samp"), F.var_samp(v).alias("var_samp"),
             F.min(v).alias("min_value"), F.max(v).alias("max_value"), (F.max(v) - F.min(v)).alias("range_value"), F.sum(v).alias("sum_value"),
             q[0].alias("q1"), q[1].alias("median_value"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"),
             (F.stddev_pop(v) / F.abs(F.avg(v)) * 100).alias("cv_pct"),
         ).alias(c))
-    return _long(df.agg(*aggs), names, fields)
-
-
-def _sql(df: DataFrame, c: str) -> str:
-    return f"CASE WHEN NOT isnan(CAST(`{c}` AS DOUBLE)) AND abs(CAST(`{c}` AS DOUBLE)) <> double('infinity') THEN CAST(`{c}` AS DOUBLE) END"
+    out = _long(df.agg(*aggs), names, fields)
+    if not exact or not names:
+        return out
+    q = quantiles(df, {c: finite(df.schema, c) for c in names}, [0.25, 0.5, 0.75]).select(F.col("column_name").alias("_c"), "q")
+    out = out.join(F.broadcast(q), F.col("column_name") == F.col("_c"))  # a row per column
+    given = {"q1": F.col("q")[0], "median_value": F.col("q")[1], "q3": F.col("q")[2], "iqr": F.col("q")[2] - F.col("q")[0]}
+    return out.select("column_name", *[given.get(f, F.col(f)).alias(f) for f in fields])
 
 
 def percentiles(df: DataFrame, name: str, points: list[float], exact: bool = True) -> DataFrame:
     """(point, quantile) by linear interpolation; points outside 0..100 are an error."""
     if any(not 0 <= p <= 100 for p in points):
         raise ValueError("points lie between 0 and 100")
-    arr = ", ".join(str(p / 100) for p in points)
-    q = F.expr(f"percentile({_sql(df, name)}, array({arr}))") if exact else F.percentile_approx(finite(df.schema, name), [p / 100 for p in points], 10000)
-    return df.agg(q.alias("q")).select(F.posexplode("q").alias("i", "quantile")).select(F.array(*[F.lit(float(p)) for p in points])[F.col("i")].alias("point"), "quantile")
+    from cairn.operators.relational import quantiles
+
+    v, at = finite(df.schema, name), [p / 100 for p in points]
+    got = quantiles(df, {name: v}, at).select("q") if exact else df.agg(F.percentile_approx(v, at, 10000).alias("q"))
+    return got.select(F.posexplode("q").alias("i", "quantile")).select(F.array(*[F.lit(float(p)) for p in points])[F.col("i")].alias("point"), "quantile")
 
 
 def median_deviation(df: DataFrame, name: str) -> DataFrame:
     """(median_value, mad): the median absolute deviation; two scans, the median travels as one row."""
+    from cairn.operators.relational import quantiles
+
     v = finite(df.schema, name)
-    med = df.agg(F.median(v).alias("median_value"))
-    return df.select(v.alias("v")).crossJoin(F.broadcast(med)).groupBy("median_value").agg(F.median(F.abs(F.col("v") - F.col("median_value"))).alias("mad"))
+    med = quantiles(df, {name: v}, [0.5]).select(F.col("q")[0].alias("median_value"))
+    off = df.select(v.alias("v")).crossJoin(F.broadcast(med)).select(F.abs(F.col("v") - F.col("median_value")).alias("d"))
+    return med.crossJoin(quantiles(off, {"d": F.col("d")}, [0.5]).select(F.col("q")[0].alias("mad")))
 
 
 def extended(df: DataFrame, name: str) -> DataFrame:

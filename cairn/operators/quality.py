@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.operators.profile import finite, numeric_columns, text_columns, value
+from cairn.operators.profile import cell_counts, finite, numeric_columns, text_columns, value
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -74,9 +74,8 @@ def readiness(df: DataFrame) -> DataFrame:
     from cairn.operators.profile import dataset_stats, duplicate_rows
 
     st, du = dataset_stats(df), duplicate_rows(df)
-    const = df.agg(*[F.count_distinct(value(df.schema, c)).alias(c) for c in df.columns])
-    k = sum([(F.col(f"`{c}`") <= 1).cast("int") for c in df.columns], F.lit(0))
-    x = st.crossJoin(du.select("duplicates")).crossJoin(const.select(k.alias("constant_columns")))
+    varied = cell_counts(df, df.columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("d")).agg(F.count_if(F.col("d") > 1).alias("varied"))
+    x = st.crossJoin(du.select("duplicates")).crossJoin(varied.select((F.lit(len(df.columns)) - F.col("varied")).alias("constant_columns")))
     mr, dr = F.col("missing_total") / F.greatest(F.col("n_rows") * F.col("n_columns"), F.lit(1)), F.col("duplicates") / F.greatest("n_rows", F.lit(1))
     size = F.when(F.col("n_rows") >= 10000, 20).when(F.col("n_rows") >= 1000, 15).when(F.col("n_rows") >= 100, 10).otherwise(5)
     score = size + F.floor(25 * (1 - F.least(mr * 2, F.lit(1.0)))) + F.floor(15 * (1 - F.least(dr * 5, F.lit(1.0)))) + F.when(F.col("constant_columns") == 0, 10).otherwise(0) + F.when(F.col("n_numeric") >= 1, 15).otherwise(5) + F.when(F.col("n_columns") >= 3, 15).otherwise(8)

@@ -78,7 +78,7 @@ def group_split(df: DataFrame, key: str, group: str, train: float = 0.7, val: fl
 def temporal_split(df: DataFrame, key: str, time: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(key, split): the boundaries are exact quantiles of the time, no global sort of the rows."""
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    b = df.agg(F.expr(f"percentile(unix_micros(cast(`{time}` as timestamp)), array({train}, {train + val}))").alias("b"))
+    b = quantiles(df, {time: F.unix_micros(F.col(time).cast("timestamp"))}, [train, train + val]).select(F.col("q").alias("b"))
     return df.crossJoin(F.broadcast(b)).select(key, F.when(t <= F.col("b")[0], "train").when(t <= F.col("b")[1], "val").otherwise("test").alias("split"))
 
 
@@ -116,6 +116,31 @@ def running(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
     return x.join(F.broadcast(total), "_pid").select(*df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(upto)).alias(f"cum_{c}") for c in sums], F.coalesce(F.lead(by).over(own), "_after").alias("next_value"))
 
 
+def quantiles(df: DataFrame, columns: dict[str, Column], points: list[float]) -> DataFrame:
+    """(column_name, n, q): exact quantiles, interpolated between values, of several columns at once.
+
+    Values are counted per column (map-side combined), the counts of all columns are range partitioned
+    together, and a running sum finds the ranks, so no task and no buffer holds a column. Missing values are
+    left out; a column without values has null quantiles.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), v.cast("double").alias("v")) for k, v in columns.items()]))
+    c = df.select(cells.alias("at")).where("at.v IS NOT NULL").groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    x = running(c, "at", ["n"])
+    own = x.groupBy(F.col("at.c").alias("c")).agg(F.sum("n").alias("t"), F.min(F.col("cum_n") - F.col("n")).alias("start"))
+    names = df.sparkSession.createDataFrame([(k,) for k in columns], "c string")
+    x = x.select(F.col("at.c").alias("c"), F.col("at.v").alias("v"), "cum_n").join(F.broadcast(own), "c")
+    aggs = []
+    for i, p in enumerate(points):
+        at = F.lit(float(p)) * (F.col("t") - 1)
+        for k, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.min(F.when(F.col("cum_n") - F.col("start") > pos, F.col("v"))).alias(f"{k}{i}"))
+    got = x.groupBy("c", "t").agg(*aggs)
+    frac = [F.lit(float(p)) * (F.col("t") - 1) - F.floor(F.lit(float(p)) * (F.col("t") - 1)) for p in points]
+    q = F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * frac[i] for i in range(len(points))])
+    nulls = F.array(*[F.lit(None).cast("double") for _ in points])
+    return names.join(got.select("c", "t", q.alias("q")), "c", "left").select(F.col("c").alias("column_name"), F.coalesce("t", F.lit(0)).alias("n"), F.coalesce("q", nulls).alias("q"))
+
+
 def average_ranks(df: DataFrame, name: str) -> DataFrame:
     """(value, n, average_rank): ranks from cumulative value counts, ties averaged; distinct values only are ordered."""
     c = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -126,7 +151,9 @@ def lagged_correlation(df: DataFrame, group: str, order: list[str], a: str, b: s
     """(lag, r, n): correlation of ``a`` now with ``b`` that many rows later in the group; one window for all lags."""
     w = Window.partitionBy(group).orderBy(*order)
     x = df.select(F.col(a).cast("double").alias("a"), *[F.lead(F.col(b).cast("double"), k).over(w).alias(f"b{k}") for k in lags])
-    wide = x.agg(*[F.struct(F.corr("a", f"b{k}").alias("r"), F.count(F.when(F.col("a").isNotNull() & F.col(f"b{k}").isNotNull(), 1)).alias("n")).alias(f"k{k}") for k in lags])
+    from cairn.operators.profile import corr
+
+    wide = x.agg(*[F.struct(corr(F.col("a"), F.col(f"b{k}")).alias("r"), F.count(F.when(F.col("a").isNotNull() & F.col(f"b{k}").isNotNull(), 1)).alias("n")).alias(f"k{k}") for k in lags])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"k{k}.r").alias("r"), F.col(f"k{k}.n").alias("n")) for k in lags])).alias("x")).select("x.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import measures, more, problems, rest, rows, tables
+from cairn.plans import extra, measures, more, problems, rest, rows, tables
 
-QUERIES = problems.QUERIES | tables.Q | rows.Q | measures.Q | more.Q | rest.Q
-ORACLES = problems.ORACLES | tables.O | rows.O | measures.O | more.O | rest.O
+QUERIES = problems.QUERIES | tables.Q | rows.Q | measures.Q | more.Q | rest.Q | extra.Q
+ORACLES = problems.ORACLES | tables.O | rows.O | measures.O | more.O | rest.O | extra.O

@@ -20,7 +20,7 @@ LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _pairs = [(a, b) for i, a in enumerate(LI) for b in LI[i + 1 :]]
 _r6 = lambda e: f"round({e}, 9)"
 add("cor1_pearson_pairs", lambda s, d: A.pearson_pairs(read(s, d, "lineitem"), LI).withColumn("r", F.round("r", 9)), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r, COUNT(*) AS n FROM lineitem" for a, b in _pairs))
-add("cor2_network", lambda s, d: A.pearson_pairs(read(s, d, "lineitem"), LI).where(F.abs("r") >= 0.3).select("a", "b", F.round("r", 4).alias("r"), F.when(F.abs("r") >= 0.7, "strong").when(F.abs("r") >= 0.5, "moderate").otherwise("weak").alias("strength")), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r, CASE WHEN abs(corr({a}, {b})) >= 0.7 THEN 'strong' WHEN abs(corr({a}, {b})) >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM lineitem" for a, b in _pairs) + ") WHERE abs(r) >= 0.3")
+add("cor2_network", lambda s, d: A.pearson_pairs(read(s, d, "lineitem").withColumn("l_tax", F.col("l_tax") + F.col("l_discount")), LI).where(F.abs("r") >= 0.3).select("a", "b", F.round("r", 4).alias("r"), F.when(F.abs("r") >= 0.7, "strong").when(F.abs("r") >= 0.5, "moderate").otherwise("weak").alias("strength")), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r, CASE WHEN abs(corr({a}, {b})) >= 0.7 THEN 'strong' WHEN abs(corr({a}, {b})) >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM (SELECT * REPLACE (l_tax + l_discount AS l_tax) FROM lineitem)" for a, b in _pairs) + ") WHERE abs(r) >= 0.3")
 add("cor4_spearman", lambda s, d: A.spearman(read(s, d, "lineitem"), "l_quantity", "l_extendedprice"), "WITH q AS (SELECT l_quantity, AVG(r) AS x FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS r FROM lineitem) GROUP BY 1), p AS (SELECT l_extendedprice, AVG(r) AS y FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) AS r FROM lineitem) GROUP BY 1) SELECT corr(x, y) AS r, COUNT(*) AS n FROM lineitem JOIN q USING (l_quantity) JOIN p USING (l_extendedprice)")
 _cont = lambda t, a, b: f"c AS (SELECT {a} AS a, {b} AS b, COUNT(*) AS n FROM {t} GROUP BY 1, 2), j AS (SELECT n, SUM(n) OVER (PARTITION BY a) AS na, SUM(n) OVER (PARTITION BY b) AS nb, a, b FROM c), s AS (SELECT SUM(n * n / (na * nb)) AS s, SUM(n)::BIGINT AS n, COUNT(DISTINCT a) AS r, COUNT(DISTINCT b) AS k FROM j)"
 add("cor7_cramers_v", lambda s, d: A.contingency(read(s, d, "lineitem"), "l_returnflag", "l_linestatus"), f"WITH {_cont('lineitem', 'l_returnflag', 'l_linestatus')} SELECT n * (s - 1) AS chi2, n, r AS rows, k AS cols, ((r - 1) * (k - 1)) AS dof, sqrt((s - 1) / (least(r, k) - 1)) AS v, sqrt(greatest(0, s - 1 - (r - 1) * (k - 1) / (n - 1)) / (least(r - power(r - 1, 2) / (n - 1), k - power(k - 1, 2) / (n - 1)) - 1)) AS v_corrected FROM s")
@@ -86,7 +86,7 @@ m AS (SELECT y, CASE WHEN p0 >= t0 THEN p0 END AS a, CASE WHEN p1 >= t1 THEN p1
 SELECT y AS given, CASE WHEN a IS NOT NULL AND a >= COALESCE(b, -9) AND a >= COALESCE(c, -9) THEN 0 WHEN b IS NOT NULL AND b >= COALESCE(c, -9) THEN 1 ELSE 2 END AS guess, COUNT(*) AS n FROM m WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL GROUP BY 1, 2""")
 add("lbl4_calibration", lambda s, d: T.calibration(read(s, d, "lineitem"), F.col("l_returnflag") == "R", F.col("l_quantity") / 50), "WITH x AS (SELECT (l_returnflag = 'R')::INT AS y, l_quantity / 50 AS s FROM lineitem) SELECT greatest(ceil(s * 10) - 1, 0)::INT AS bin, COUNT(*) AS n, AVG(s) AS confidence, AVG(y) AS accuracy, abs(AVG(s) - AVG(y)) AS gap FROM x GROUP BY 1")
 add("lbl4_krippendorff", lambda s, d: T.krippendorff(read(s, d, "lineitem"), "l_orderkey", "l_linestatus"), "WITH c AS (SELECT l_orderkey AS u, l_linestatus AS v, COUNT(*) AS n FROM lineitem GROUP BY 1, 2), u AS (SELECT u, SUM(n) AS m, SUM(n * (n - 1)) AS same FROM c GROUP BY 1 HAVING SUM(n) > 1), o AS (SELECT SUM(same / (m - 1)) AS agree, SUM(m) AS n, COUNT(*) AS units FROM u), e AS (SELECT SUM(k * (k - 1)) AS e FROM (SELECT SUM(n) AS k FROM c WHERE u IN (SELECT u FROM u) GROUP BY v)) SELECT 1 - (1 - agree / n) / (1 - e / (n * (n - 1))) AS alpha, units, n::BIGINT AS ratings FROM o, e")
-add("lbl5_class_outliers", lambda s, d: T.class_outliers(read(s, d, "orders"), "o_orderkey", "o_orderpriority", ["o_totalprice"], 2.0), "WITH p AS (SELECT o_orderpriority AS l, AVG(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1) SELECT o_orderkey, o_orderpriority, abs(o_totalprice - m) / s AS max_z FROM orders JOIN p ON o_orderpriority = l WHERE abs(o_totalprice - m) / s > 2.0")
+add("lbl5_class_outliers", lambda s, d: T.class_outliers(read(s, d, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 499 == 0, F.col("o_totalprice") * 25).otherwise(F.col("o_totalprice"))), "o_orderkey", "o_orderpriority", ["o_totalprice"], 2.0), "WITH p AS (SELECT o_orderpriority AS l, AVG(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 499 = 0 THEN o_totalprice * 25 ELSE o_totalprice END AS o_totalprice) FROM orders) AS orders GROUP BY 1) SELECT o_orderkey, o_orderpriority, abs(o_totalprice - m) / s AS max_z FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 499 = 0 THEN o_totalprice * 25 ELSE o_totalprice END AS o_totalprice) FROM orders) AS orders JOIN p ON o_orderpriority = l WHERE abs(o_totalprice - m) / s > 2.0")
 add("lbl6_separability", lambda s, d: A.correlation_ratio(read(s, d, "lineitem"), "l_returnflag", "l_extendedprice").select(((F.col("eta2") / (F.col("groups") - 1)) / ((1 - F.col("eta2")) / (F.col("n") - F.col("groups")))).alias("f")), "WITH g AS (SELECT l_returnflag, COUNT(*) AS n, AVG(l_extendedprice) AS m FROM lineitem GROUP BY 1), t AS (SELECT AVG(l_extendedprice) AS m, var_pop(l_extendedprice) * COUNT(*) AS s, COUNT(*) AS n FROM lineitem), e AS (SELECT SUM(g.n * power(g.m - t.m, 2)) AS b, any_value(t.s) AS s, COUNT(*) AS k, any_value(t.n) AS n FROM g, t) SELECT (b / (k - 1)) / ((s - b) / (n - k)) AS f FROM e")
 add("fai1_sensitive_profile", lambda s, d: T.sensitive_profile(read(s, d, "customer"), "c_mktsegment"), "WITH c AS (SELECT COUNT(*) AS n FROM customer GROUP BY c_mktsegment) SELECT COUNT(*) AS groups, log2(SUM(n)) - SUM(n * log2(n)) / SUM(n) AS entropy, MAX(n) / SUM(n) AS majority_share, COUNT(*) FILTER (WHERE n < 30) AS small_groups FROM c")
 add("fai2_proxies", lambda s, d: A.contingency(read(s, d, "part"), "p_brand", "p_type").select("chi2", "n", "v"), f"WITH {_cont('part', 'p_brand', 'p_type')} SELECT n * (s - 1) AS chi2, n, sqrt((s - 1) / (least(r, k) - 1)) AS v FROM s")

@@ -67,7 +67,14 @@ def _clusters(s, d):
 
 add("dup9_clusters", _clusters)
 _cells = ["l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_suppkey", "l_partkey", "l_quantity", "l_shipdate", "l_extendedprice"]
-add("dup8_row_pairs", lambda s, d: (lambda t: G.row_pairs(t.where("l_orderkey % 2 = 0"), t.where("l_orderkey % 2 = 1"), "k", _cells, 0.6))(read(s, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))))
+def _row_pairs(s, d):
+    """Even orders against odd ones and every seventh even one again with another tax and date."""
+    t = read(s, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    again = t.where("l_orderkey % 14 = 0").withColumns({"k": -F.col("k"), "l_tax": F.col("l_tax") + 0.01, "l_shipdate": F.date_add("l_shipdate", 1).cast("timestamp_ntz")})
+    return G.row_pairs(t.where("l_orderkey % 2 = 0"), t.where("l_orderkey % 2 = 1").unionByName(again), "k", _cells, 0.6)
+
+
+add("dup8_row_pairs", _row_pairs)
 add("dup10_inconsistent", lambda s, d: T.inconsistent_labels(read(s, d, "lineitem").withColumn("b", F.floor(F.col("l_extendedprice") / 5000)), ["l_quantity", "b"], "l_linestatus"), "WITH g AS (SELECT COUNT(*) AS n, MIN(l_linestatus) AS a, MAX(l_linestatus) AS b FROM lineitem GROUP BY l_quantity, floor(l_extendedprice / 5000)) SELECT COUNT(*) AS groups, SUM(n)::BIGINT AS rows, COUNT(*) FILTER (WHERE a <> b) AS conflicting_groups, COALESCE(SUM(n) FILTER (WHERE a <> b), 0)::BIGINT AS conflicting_rows FROM g")
 _red = [("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]"), ("[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]"), ("https?://[^ \\n]+", "[URL]")]
 
@@ -80,13 +87,9 @@ def _redact(c):
 
 add("pii4_redact", lambda s, d: read(s, d, "documents").select("doc_id", _redact(F.col("text")).alias("text")), "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '" + _red[0][0] + "', '[EMAIL]', 'g'), '" + _red[1][0] + "', '[SSN]', 'g'), '" + _red[2][0] + "', '[URL]', 'g') AS text FROM documents")
 add("pii1_counts", lambda s, d: read(s, d, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_red[0][0])).alias("emails"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_red[1][0])).alias("ssn")).select("*", F.greatest(100 - 15 * F.col("emails") - 25 * F.col("ssn"), F.lit(0)).alias("score")), f"WITH x AS (SELECT doc_id, len(regexp_extract_all(COALESCE(text, ''), '{_red[0][0]}'))::INT AS emails, len(regexp_extract_all(COALESCE(text, ''), '{_red[1][0]}'))::INT AS ssn FROM documents) SELECT *, greatest(100 - 15 * emails - 25 * ssn, 0)::INT AS score FROM x")
-add("lek3_temporal", lambda s, d: read(s, d, "orders").crossJoin(F.broadcast(read(s, d, "orders").agg(F.expr("percentile(unix_micros(cast(o_orderdate as timestamp)), 0.8)").alias("b")))).agg(F.count_if(F.unix_micros(F.col("o_orderdate").cast("timestamp")) > F.col("b")).alias("after_boundary"), F.count(F.lit(1)).alias("n")), "SELECT COUNT(*) FILTER (WHERE epoch_us(o_orderdate) > b) AS after_boundary, COUNT(*) AS n FROM orders, (SELECT quantile_cont(epoch_us(o_orderdate)::DOUBLE, 0.8) AS b FROM orders)")
-add("lek8_score", lambda s, d: s.createDataFrame([T.leakage_score([("critical", 0.9, True), ("medium", 0.5, False)])], "score double, grade string"), "SELECT round(100 - 25 * 0.9 - 8 * 0.5 * 0.5, 2)::DOUBLE AS score, 'B' AS grade")
-add("lbl7_score", lambda s, d: s.createDataFrame([(S.weighted({"noise": 80.0, "inconsistent": 90.0, "imbalance": 60.0}, S.LABELS),)], "score double"), "SELECT round((0.30 * 80 + 0.20 * 90 + 0.10 * 60) / 0.60, 2)::DOUBLE AS score")
+add("lek3_temporal", lambda s, d: read(s, d, "orders").crossJoin(F.broadcast(B.quantiles(read(s, d, "orders"), {"t": F.unix_micros(F.col("o_orderdate").cast("timestamp"))}, [0.8]).select(F.col("q")[0].alias("b")))).agg(F.count_if(F.unix_micros(F.col("o_orderdate").cast("timestamp")) > F.col("b")).alias("after_boundary"), F.count(F.lit(1)).alias("n")), "SELECT COUNT(*) FILTER (WHERE epoch_us(o_orderdate) > b) AS after_boundary, COUNT(*) AS n FROM orders, (SELECT quantile_cont(epoch_us(o_orderdate)::DOUBLE, 0.8) AS b FROM orders)")
 add("fai3_representation", lambda s, d: read(s, d, "customer").groupBy("c_mktsegment").count().select("c_mktsegment", F.col("count").alias("n")).crossJoin(F.broadcast(read(s, d, "customer").groupBy("c_mktsegment").count().agg(F.max("count").alias("top")))).select("c_mktsegment", "n", (F.col("n") / F.col("top")).alias("ratio"), (F.col("n") / F.col("top") >= 0.8).alias("fair")), "WITH c AS (SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, n, n / MAX(n) OVER () AS ratio, n / MAX(n) OVER () >= 0.8 AS fair FROM c")
 add("fai11_worst_intersection", lambda s, d: T.intersections(read(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_discount") > 0.05, 10).agg(F.round(F.min("rate"), 9).alias("worst"), F.round(F.max("rate"), 9).alias("best")), "SELECT round(MIN(r), 9) AS worst, round(MAX(r), 9) AS best FROM (SELECT AVG((l_discount > 0.05)::INT) AS r FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) >= 10)")
-add("fai15_score", lambda s, d: s.createDataFrame([(S.weighted({"representation": 10.0, "outcome": 40.0, "proxy": 0.0}, S.BIAS),)], "score double"), "SELECT round((0.20 * 10 + 0.30 * 40) / 0.70, 2)::DOUBLE AS score")
-add("rdy2_score", lambda s, d: s.createDataFrame([(S.weighted({"size": 90.0, "quality": 80.0, "balance": 70.0}, S.READY, True),)], "score double"), "SELECT 50.0::DOUBLE AS score")
 add("img2_diversity", lambda s, d: S.effective_rank(read(s, d, "embeddings"), "embedding"))
 add("img4_fingerprint", lambda s, d: K.fingerprint(read(s, d, "image_record").select("image_id", "sha256")))
 add("out13_density", lambda s, d: U.density_noise(read(s, d, "supplier"), "s_suppkey", ["s_nationkey", "s_acctbal"], 0.15, 4), """WITH r AS (SELECT MIN(s_nationkey) AS a0, MAX(s_nationkey) AS b0, MIN(s_acctbal) AS a1, MAX(s_acctbal) AS b1 FROM supplier),

@@ -102,15 +102,26 @@ add("snk4_history", lambda s, d: read(s, d, "snapshots").selectExpr("snapshot_id
 _T = "lineitem"
 _li = lambda s, d: read(s, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 _k = "l_orderkey * 10 + l_linenumber AS k"
-add("out1_quartiles", lambda s, d: U.by_quartiles(_li(s, d), "k", "l_extendedprice"), f"WITH {_q(_T, 'l_extendedprice')} SELECT {_k}, l_extendedprice AS value, greatest({_lo} - l_extendedprice, l_extendedprice - ({_hi})) / nullif(q3 - q1, 0) AS score FROM lineitem, b WHERE l_extendedprice < {_lo} OR l_extendedprice > {_hi}")
+# the driver's tables hold no outliers: every 499th value is made one, in query and SQL alike
+_plant = lambda t, c, by, k: f"FROM (SELECT * REPLACE (CASE WHEN {by} % 499 = 0 THEN {c} * {k} ELSE {c} END AS {c}) FROM {t}) AS {t}"
+_odd_li = lambda s, d: _li(s, d).withColumn("l_extendedprice", F.when(F.col("l_orderkey") % 499 == 0, F.col("l_extendedprice") * 30).otherwise(F.col("l_extendedprice")))
+_odd_orders = lambda s, d: read(s, d, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 499 == 0, F.col("o_totalprice") * 25).otherwise(F.col("o_totalprice")))
+
+
+def add_planted(name, table, column, by, k, fn, sql):
+    add(name, fn, sql.replace(f"FROM {table}", _plant(table, column, by, k)))
+
+
+add_planted("out1_quartiles", "lineitem", "l_extendedprice", "l_orderkey", 30, lambda s, d: U.by_quartiles(_odd_li(s, d), "k", "l_extendedprice"), f"WITH {_q(_T, 'l_extendedprice')} SELECT {_k}, l_extendedprice AS value, greatest({_lo} - l_extendedprice, l_extendedprice - ({_hi})) / nullif(q3 - q1, 0) AS score FROM lineitem, b WHERE l_extendedprice < {_lo} OR l_extendedprice > {_hi}")
 add("out2_quartiles_k1", lambda s, d: U.by_quartiles(read(s, d, "customer"), "c_custkey", "c_acctbal", 0.4), f"WITH {_q('customer', 'c_acctbal')} SELECT c_custkey, c_acctbal AS value, greatest(q1 - 0.4 * (q3 - q1) - c_acctbal, c_acctbal - (q3 + 0.4 * (q3 - q1))) / (q3 - q1) AS score FROM customer, b WHERE c_acctbal < q1 - 0.4 * (q3 - q1) OR c_acctbal > q3 + 0.4 * (q3 - q1)")
-add("out3_zscore", lambda s, d: U.by_zscore(_li(s, d), "k", "l_extendedprice", 2.0), f"SELECT {_k}, l_extendedprice AS value, abs(l_extendedprice - m) / s AS score FROM lineitem, (SELECT AVG(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem) WHERE abs(l_extendedprice - m) / s > 2.0")
-add("out4_modified_z", lambda s, d: U.by_median(_li(s, d), "k", "l_extendedprice", 2.0), f"SELECT {_k}, l_extendedprice AS value, 0.6745 * abs(l_extendedprice - m) / s AS score FROM lineitem, (SELECT median(l_extendedprice) AS m, mad(l_extendedprice) AS s FROM lineitem) WHERE 0.6745 * abs(l_extendedprice - m) / s > 2.0")
-add("out5_mad_fallback", lambda s, d: U.by_median(_li(s, d).withColumn("x", F.when(F.col("l_linenumber") < 4, 1.0).otherwise(F.col("l_linenumber").cast("double"))), "k", "x").select("k", "value"), f"WITH x AS (SELECT {_k}, CASE WHEN l_linenumber < 4 THEN 1.0 ELSE l_linenumber END::DOUBLE AS x FROM lineitem), b AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, mad(x) AS md, median(x) AS m FROM x) SELECT k, x AS value FROM x, b WHERE CASE WHEN md > 1e-12 THEN 0.6745 * abs(x - m) / md > 3.5 ELSE x < {_lo} OR x > {_hi} END")
-add("out6_grubbs", lambda s, d: U.extremes_test(read(s, d, "orders"), "o_orderkey", "o_totalprice"))
+add_planted("out3_zscore", "lineitem", "l_extendedprice", "l_orderkey", 30, lambda s, d: U.by_zscore(_odd_li(s, d), "k", "l_extendedprice", 2.0), f"SELECT {_k}, l_extendedprice AS value, abs(l_extendedprice - m) / s AS score FROM lineitem, (SELECT AVG(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem) WHERE abs(l_extendedprice - m) / s > 2.0")
+add_planted("out4_modified_z", "lineitem", "l_extendedprice", "l_orderkey", 30, lambda s, d: U.by_median(_odd_li(s, d), "k", "l_extendedprice", 2.0), f"SELECT {_k}, l_extendedprice AS value, 0.6745 * abs(l_extendedprice - m) / s AS score FROM lineitem, (SELECT median(l_extendedprice) AS m, mad(l_extendedprice) AS s FROM lineitem) WHERE 0.6745 * abs(l_extendedprice - m) / s > 2.0")
+add("out5_mad_fallback", lambda s, d: U.by_median(_li(s, d).withColumn("x", F.when(F.col("l_orderkey") % 499 == 0, 90.0).when(F.col("l_linenumber") < 6, 1.0).otherwise(F.col("l_linenumber").cast("double"))), "k", "x").select("k", "value"), f"WITH x AS (SELECT {_k}, CASE WHEN l_orderkey % 499 = 0 THEN 90.0 WHEN l_linenumber < 6 THEN 1.0 ELSE l_linenumber END::DOUBLE AS x FROM lineitem), b AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, mad(x) AS md, median(x) AS m FROM x) SELECT k, x AS value FROM x, b WHERE CASE WHEN md > 1e-12 THEN 0.6745 * abs(x - m) / md > 3.5 ELSE x < {_lo} OR x > {_hi} END")
+add("out6_grubbs", lambda s, d: U.extremes_test(_odd_orders(s, d), "o_orderkey", "o_totalprice"))
 add("out8_esd", lambda s, d: U.extremes_test(read(s, d, "events"), "event_id", "value", kind="esd"))
 add("out9_mahalanobis", lambda s, d: U.by_mahalanobis(_li(s, d), "k", ["l_quantity", "l_extendedprice", "l_discount"], 0.9))
 add("out10_isolation_forest", lambda s, d: U.isolation_forest(_li(s, d), "k", ["l_quantity", "l_extendedprice", "l_discount"]))
 add("out11_lof", lambda s, d: U.local_outlier_factor(read(s, d, "part"), "p_partkey", ["p_size", "p_retailprice"]))
-add("out14_vote", lambda s, d: U.vote(read(s, d, "orders"), "o_orderkey", ["o_totalprice"]), f"WITH {_q('orders', 'o_totalprice')}, m AS (SELECT AVG(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, median(o_totalprice) AS md, mad(o_totalprice) AS mad FROM orders) SELECT * FROM (SELECT o_orderkey, ((o_totalprice < {_lo} OR o_totalprice > {_hi})::INT + (abs(o_totalprice - m) / s > 3)::INT + (0.6745 * abs(o_totalprice - md) / mad > 3.5)::INT)::BIGINT AS votes FROM orders, b, m) WHERE votes > 0")
+add_planted("out14_vote", "orders", "o_totalprice", "o_orderkey", 25, lambda s, d: U.vote(_odd_orders(s, d), "o_orderkey", ["o_totalprice"]), f"WITH {_q('orders', 'o_totalprice')}, m AS (SELECT AVG(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, median(o_totalprice) AS md, mad(o_totalprice) AS mad FROM orders) SELECT * FROM (SELECT o_orderkey, ((o_totalprice < {_lo} OR o_totalprice > {_hi})::INT + (abs(o_totalprice - m) / s > 3)::INT + (0.6745 * abs(o_totalprice - md) / mad > 3.5)::INT)::BIGINT AS votes FROM orders, b, m) WHERE votes > 0")
+add("out14_consensus", lambda s, d: U.consensus(_odd_li(s, d), "k", ["l_quantity", "l_extendedprice", "l_discount"]))
 add("out16_density", lambda s, d: U.density(read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]), f"WITH {_q(_T, 'l_quantity')}, x AS (SELECT COUNT(*) FILTER (WHERE l_quantity < {_lo} OR l_quantity > {_hi}) AS o, COUNT(*) AS n FROM lineitem, b), b2 AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem), y AS (SELECT COUNT(*) FILTER (WHERE l_extendedprice < {_lo} OR l_extendedprice > {_hi}) AS o, COUNT(*) AS n FROM lineitem, b2) SELECT (x.o + y.o) AS outlier_cells, (x.n + y.n) AS cells, (x.o + y.o) / (x.n + y.n) AS density FROM x, y")
