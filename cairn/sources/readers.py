@@ -51,12 +51,47 @@ def sniff(head: bytes) -> tuple[str, str]:
     return enc, best
 
 
-def load_resilient(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of unknown encoding and delimiter; lines that fit no schema are dropped. Only its first kilobytes are looked at on the driver."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8192).alias("h")).first()
-    enc, sep = sniff(bytes(head["h"])) if head else ("UTF-8", ",")
-    df = spark.read.options(header=True, inferSchema=True, encoding=enc, sep=sep, mode="DROPMALFORMED").csv(path)
-    return df.toDF(*clean_names([c.lstrip("﻿") for c in df.columns]))
+def _head(spark: SparkSession, path: str, size: int = 65536) -> bytes:
+    """The first bytes of a file, or of the first file with content below a folder, through Hadoop's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        found = sorted((x.getPath().toString() for x in fs.listStatus(p) if x.isFile() and x.getLen() and not x.getPath().getName().startswith(("_", "."))))
+        if not found:
+            return b""
+        p = spark._jvm.org.apache.hadoop.fs.Path(found[0])
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+#: The column of lines that fit no row.
+BAD = "_bad_line"
+
+
+def load_resilient(spark: SparkSession, path: str, keep_bad: bool = True) -> DataFrame:
+    """A CSV of unknown encoding and delimiter; ``_bad_line`` holds the lines that don't fit the header, null for the others.
+
+    The driver sees the first 64 kilobytes only. Bytes that aren't UTF-8 further on come back as replacement
+    characters, which ``has_damage`` counts; the caller may then load with another encoding.
+    """
+    enc, sep = sniff(_head(spark, path))
+    how = dict(header=True, encoding=enc, sep=sep, mode="PERMISSIVE")
+    schema = spark.read.options(**how, inferSchema=True).csv(path).schema
+    if keep_bad:
+        schema = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    df = spark.read.options(**how, columnNameOfCorruptRecord=BAD, enforceSchema=True).schema(schema).csv(path)
+    names = clean_names([c.lstrip("\ufeff") for c in df.columns if c != BAD])
+    return df.toDF(*names, *([BAD] if keep_bad else []))
+
+
+def has_damage(df: DataFrame) -> DataFrame:
+    """(column_name, damaged): cells with replacement characters, by column."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    wide = df.agg(*[F.count_if(F.col(f"`{c}`").contains("\ufffd")).alias(c) for c in names], F.lit(0).alias("_"))
+    return wide.unpivot(["_"], names, "column_name", "damaged").select("column_name", "damaged")
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -128,11 +163,51 @@ def parse_html(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([one(t) for t in b], columns=["title", "text", "links", "lang", "has_table", "has_image"])
 
 
-def strip_markdown(c: Column) -> Column:
-    """Fences, inline code marks, headings, emphasis, links, images, quotes and rules removed."""
-    for rx, to in ((r"(?m)^(```|~~~)[^\n]*\n?", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^>[ \t]?", ""), (r"(?m)^(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""), (r"(\*\*|__|~~)", ""), (r"`([^`\n]+)`", "$1")):
-        c = F.regexp_replace(c, rx, to)
-    return c
+def _plain_line(line: str) -> str:
+    """The words of one Markdown line: read from left to right, a mark at a time."""
+    indent = len(line) - len(line.lstrip(" \t"))
+    body = line[indent:]
+    if len(body) >= 3 and body.rstrip() and len(set(body.rstrip())) == 1 and body[0] in "-*_":
+        return ""
+    level = len(body) - len(body.lstrip("#"))
+    if 0 < level <= 6 and body[level : level + 1] in (" ", "\t"):
+        indent, body = 0, body[level:].lstrip(" \t")
+    elif body.startswith(">"):
+        indent, body = 0, body[1:].removeprefix(" ")
+    out, i = [" " * indent], 0
+    while i < len(body):
+        c, two = body[i], body[i : i + 2]
+        if c == "`" and (end := body.find("`", i + 1)) > i + 1:
+            out.append(body[i + 1 : end])
+            i = end + 1
+        elif two in ("**", "__", "~~"):
+            i += 2
+        elif (c == "[" or two == "![") and (mid := body.find("](", i)) > 0 and (end := body.find(")", mid)) > 0 and "[" not in body[i + len(two.rstrip("[")) + 1 : mid]:
+            out.append(body[body.index("[", i) + 1 : mid])
+            i = end + 1
+        else:
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def strip_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Text without the marks of Markdown; lines between fences stay as they are; null for null."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, fenced = [], False
+        for line in text.split("\n"):
+            if line.startswith(("```", "~~~")):
+                fenced = not fenced
+            else:
+                out.append(line if fenced else _plain_line(line))
+        return "\n".join(out)
+
+    for b in batches:
+        yield b.map(one)
 
 
 def markdown_parts(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -43,4 +43,8 @@ def report(parts: dict[str, DataFrame], most: int = 1000) -> str:
 
 
 def as_json(df: DataFrame, most: int = 1000) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in df.limit(most).collect()], default=str)
+    """A small result as JSON; more than ``most`` rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return json.dumps([r.asDict(recursive=True) for r in rows], default=str)

@@ -203,9 +203,15 @@ def test_sql_guard():
 
 def test_readers_and_sinks(spark, tmp_path):
     p = tmp_path / "t.csv"
-    p.write_bytes("a;a; \ncafé;1;=2+3\n-5;2;x\n".encode("latin-1"))
+    p.write_bytes("a;a; \ncafé;1;=2+3\n-5;2;x\ntoo;many;cells;here\n".encode("latin-1"))
     df = readers.load_resilient(spark, str(p))
-    assert len(set(df.columns)) == 3 and df.count() == 2 and df.collect()[0][0] == "café"
+    rows = df.collect()
+    assert len(set(df.columns)) == 4 and len(rows) == 3 and rows[0][0] == "café"
+    assert [r[readers.BAD] for r in rows] == [None, None, "too;many;cells;here"]  # kept, not dropped
+    md = spark.createDataFrame([("# Head\n> quote **bold** and [x](y) ![i](z)\n---\n```\n# code\n```\n`a_b` 2 * 3",), (None,)], "t string")
+    assert [r[0] for r in md.select(readers.strip_markdown("t")).collect()] == ["Head\nquote bold and x i\n\n# code\na_b 2 * 3", None]
+    with pytest.raises(ValueError):
+        sinks.as_json(spark.range(20), 10)
     sinks.write_csv(spark.createDataFrame([("=2+3",), ("-5",), ("ok",), (None,)], "c string"), str(tmp_path / "out"))
     got = {r[0] for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()}
     assert got - {None} == {"'=2+3", "-5", "ok"}

@@ -128,3 +128,41 @@ def test_categories_of_one_shape_are_told_apart(spark, tmp_path):
     churn(spark, rows).write.parquet(path)
     got = cp.breaks(cp.profile(cp.value_counts(spark, path)), cp.whole_rows(churn(spark, rows)), loads(spark, 4)).collect()
     assert [r.snapshot_id for r in got if r.column_name == "contract"] == [4]
+
+
+def test_dictionary_page_alone(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "d.parquet")
+    cols = {"d": pa.array([1.5, float("nan"), 1.5] * 50), "t": pa.array(["a", "ü", None] * 50), "i": pa.array([7, 7, 9] * 50, pa.int64()), "p": pa.array([1, 2, 3] * 50, pa.int64())}
+    for codec in ("snappy", "zstd", "none"):
+        pq.write_table(pa.table(cols), path, compression=codec, use_dictionary=["d", "t", "i"])
+        meta = pq.ParquetFile(path).metadata.row_group(0)
+        with open(path, "rb") as f:
+            got = {meta.column(k).path_in_schema: cp.dictionary(f, meta.column(k)) for k in range(4)}
+        assert got["t"] == ["a", "ü"] and got["i"] == [7, 9] and got["p"] is None
+        assert got["d"][0] == 1.5 and len(got["d"]) == 2 and got["d"][1] != got["d"][1]
+
+
+def test_settled_chunks_count_like_decoded_ones(spark, tmp_path):
+    """One load per file: constants and nulls come from footers and dictionaries, a NaN hidden from the footer is seen; paths with blanks."""
+    nan = float("nan")
+    path = str(tmp_path / "with blank %20" / "demo_churn.parquet")
+    loads_ = {1: [(30.0, 1, 5.0, "m")] * 9, 2: [(30.0, 1, nan, "m")] + [(30.0, 1, 5.0, "m")] * 8, 3: [(None, 1, 5.0, None)] * 9}
+    for k, rows in loads_.items():
+        churn(spark, [(100 * k + i, k, i, *r) for i, r in enumerate(rows)]).coalesce(1).write.mode("append").parquet(path)
+    p = {(r.snapshot_id, r.column_name): r for r in cp.profile(cp.value_counts(spark, path)).collect()}
+    assert (p[1, "monthly_charges"].nulls, p[1, "monthly_charges"].unique_count, p[1, "monthly_charges"].n) == (0, 1, 9)
+    assert (p[2, "monthly_charges"].nulls, p[2, "monthly_charges"].unique_count) == (1, 1)
+    assert p[3, "age"].nulls == 9 and p[3, "contract"].nulls == 9 and p[1, "contract"].unique_count == 1 and p[1, "age"].lo == 30.0
+
+
+def test_lasting_change_counts_once():
+    load = lambda i, values: {"snapshot_id": i, "taken_at": i, "column_name": "age", "n": len(values), "nulls": 0, "n_real": len(values), "unique_count": len(set(values)), "unique_real": len(set(values)), "lo": min(values), "hi": max(values), "q": [sorted(values)[int(p * (len(values) - 1))] for p in (0.1, 0.25, 0.5, 0.75, 0.9)], "mean": sum(values) / len(values), "shapes": [], "cats": [], "counts": []}
+    usual = [20.0 + i % 40 for i in range(80)]
+    got = cp._history(pd.DataFrame([load(i, usual) for i in range(4)] + [load(i, [40.0] * 80) for i in range(4, 9)]))
+    assert got.values.tolist() == [[4, "age"]]
+    back = cp._history(pd.DataFrame([load(i, usual) for i in range(4)] + [load(4, [40.0] * 80)] + [load(i, usual) for i in range(5, 9)]))
+    assert back.values.tolist() == [[4, "age"]]
+    assert cp._history(pd.DataFrame([load(0, usual), load(1, [40.0] * 80)])).empty  # no history yet
