@@ -97,13 +97,18 @@ def _images(s, d):
     return read(s, d, "image_record").select("class_label", "split", "sha256", "width")
 
 
-_split = F.when(F.lower(F.trim("split")).startswith("train"), "train").when(F.lower(F.trim("split")).startswith("val"), "val").when(F.lower(F.trim("split")).startswith("test"), "test")
-add("rdy1_dimensions", lambda s, d: U.readiness(_images(s, d), "class_label", _split, F.lower(F.nullif(F.trim("sha256"), F.lit("")))))
+def _readiness(s, d):
+    part = F.lower(F.trim("split"))
+    split = F.when(part.startswith("train"), "train").when(part.startswith("val"), "val").when(part.startswith("test"), "test")
+    return U.readiness(_images(s, d), "class_label", split, F.lower(F.nullif(F.trim("sha256"), F.lit(""))))
+
+
+add("rdy1_dimensions", _readiness)
 _sp = "CASE WHEN lower(trim(split)) LIKE 'train%' THEN 'train' WHEN lower(trim(split)) LIKE 'val%' THEN 'val' WHEN lower(trim(split)) LIKE 'test%' THEN 'test' END"
 _m4 = "(class_label IS NULL)::INT + (split IS NULL)::INT + (sha256 IS NULL)::INT + (width IS NULL)::INT"
 add(
     "rdy2_score",
-    lambda s, d: U.readiness_score(U.readiness(_images(s, d), "class_label", _split, F.lower(F.nullif(F.trim("sha256"), F.lit(""))))),
+    lambda s, d: U.readiness_score(_readiness(s, d)),
     f"""WITH c AS (SELECT COUNT(*) AS n FROM image_record WHERE class_label IS NOT NULL GROUP BY class_label), k AS (SELECT SUM(n) AS n, MIN(n) AS least, MAX(n) / MIN(n) AS ratio FROM c),
 sz AS (SELECT round(CASE WHEN n < 50 THEN n / 50.0 * 5 WHEN n < 200 THEN 5 + (n - 50) / 150.0 * 10 WHEN n < 1000 THEN 15 + (n - 200) / 800.0 * 15 WHEN n < 5000 THEN 30 + (n - 1000) / 4000.0 * 12 WHEN n < 20000 THEN 42 + (n - 5000) / 15000.0 * 8 ELSE 50 END + CASE WHEN least >= 100 THEN 50 WHEN least >= 10 THEN 25 ELSE 5 END, 2) AS size, CASE WHEN ratio >= 10 THEN 0 WHEN ratio >= 5 THEN 25 WHEN ratio >= 2 THEN 55 WHEN ratio >= 1.5 THEN 80 ELSE 100 END AS balance FROM k),
 x AS (SELECT {_sp} AS s, lower(nullif(trim(sha256), '')) AS h FROM image_record), sp AS (SELECT COUNT(*) FILTER (WHERE s = 'train') / COUNT(*) AS sh, COUNT(DISTINCT s) AS parts FROM x WHERE s IS NOT NULL),
@@ -141,3 +146,20 @@ add(
 )
 add("txt17_coherence", lambda s, d: X.coherence_scores(read(s, d, "documents"), "doc_id", "text"))
 add("txt18_consistency", lambda s, d: X.consistency_scores(read(s, d, "documents"), "doc_id", "text"))
+
+# -- SQL of queries of other modules ------------------------------------------------------------------------------------
+_ranges = {"arabic": "\\x{0600}-\\x{06FF}", "cyrillic": "\\x{0400}-\\x{04FF}", "han": "\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}", "hangul": "\\x{AC00}-\\x{D7AF}", "latin": "A-Za-z\\x{00C0}-\\x{024F}"}
+O["txt4_script"] = "WITH x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS k, length(COALESCE(text, '')) - length(regexp_replace(COALESCE(text, ''), '[{rx}]', '', 'g')) AS n FROM documents" for k, rx in _ranges.items()) + ") SELECT doc_id, CASE WHEN MAX(n) > 0 THEN arg_max(k, (n, k)) ELSE 'none' END AS script FROM x GROUP BY doc_id"
+_sym = "length(COALESCE(text, '')) - length(regexp_replace(COALESCE(text, ''), '[#*<>{}|\\\\^~\\[\\]]', '', 'g'))"
+_quality = f"WITH x AS (SELECT doc_id, {_w} AS w, ({_sym}) / greatest(length(COALESCE(text, '')), 1) AS noise, length(trim(COALESCE(text, ''), ' ')) AS len FROM documents), y AS (SELECT doc_id, len, 40 * least(len(w) / 50, 1.0) + 30 * least(len(list_distinct(w)) / greatest(len(w), 1) / 0.5, 1.0) + 30 * greatest(1 - 10 * noise, 0.0) AS s FROM x), z AS (SELECT doc_id, round(CASE WHEN len < 10 THEN least(s, 20.0) ELSE s END, 4) AS score FROM y), v AS (SELECT doc_id, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 55 THEN 'fair' WHEN score >= 35 THEN 'poor' ELSE 'unusable' END AS verdict FROM z)"
+O["txt23_quality"] = f"{_quality} SELECT * FROM v"
+O["txt24_corpus"] = f"{_quality} SELECT verdict, COUNT(*) AS n, round(AVG(score), 6) AS mean_score, MIN(score) AS least, MAX(score) AS most FROM v GROUP BY verdict"
+_wd = "regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}'']+')"
+O["txt6_collocations"] = f"WITH x AS (SELECT {_wd} AS w FROM documents), u AS (SELECT w, COUNT(*) AS c FROM (SELECT unnest(w) AS w FROM x) GROUP BY 1), t AS (SELECT SUM(c) AS t FROM u), b AS (SELECT p[1] AS a, p[2] AS b, COUNT(*) AS n FROM (SELECT unnest(list_zip(w[1:len(w) - 1], w[2:])) AS p FROM x WHERE len(w) > 1) GROUP BY 1, 2 HAVING COUNT(*) >= 20) SELECT b.a, b.b, n, log2(n * t / (ua.c * ub.c)) AS pmi FROM b JOIN u ua ON ua.w = b.a JOIN u ub ON ub.w = b.b, t ORDER BY pmi DESC, n DESC, a, b LIMIT 50"
+_part = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+O["qlt3_uniqueness"] = "WITH d AS (SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM part)) / COUNT(*) AS s FROM part), c AS (" + " UNION ALL ".join(f"SELECT COUNT(*) AS k, MAX(n) / SUM(n) AS top FROM (SELECT COUNT(*) AS n FROM part GROUP BY {c})" for c in _part) + "), g AS (SELECT COUNT(*) FILTER (WHERE k = 1) AS a, COUNT(*) FILTER (WHERE k > 1 AND top > 0.95) AS b FROM c), r AS (SELECT COUNT(*) - COUNT(DISTINCT p_partkey) AS r FROM part) SELECT s AS distinct_share, a AS constant_columns, b AS near_constant_columns, r AS identifier_repeats, greatest(round(100 * s - 15 * a - 8 * b - CASE WHEN r > 0 THEN 20 ELSE 0 END, 4), 0)::DOUBLE AS score FROM d, g, r"
+_eta = lambda c: f"(SELECT SUM(n * (m - a) ** 2) / (SUM(n * (m - a) ** 2) + SUM(n * s)) FROM (SELECT COUNT(*) AS n, AVG(p_retailprice) AS m, var_pop(p_retailprice) AS s FROM part GROUP BY {c}), (SELECT AVG(p_retailprice) AS a FROM part))"
+_d = lambda c: f"(SELECT COUNT(DISTINCT {c}) FROM part)"
+O["adv5_encoding"] = "SELECT column_name, d AS distinct_count, CASE WHEN d <= 200 THEN e END AS eta2, CASE WHEN d = 2 THEN 'binary' WHEN d <= 10 THEN 'one_hot' WHEN d <= 50 THEN 'label' WHEN d <= 200 THEN CASE WHEN e > 0.05 THEN 'target' ELSE 'frequency' END ELSE 'hash' END AS encoding FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_d(c)} AS d, {_eta(c)} AS e" for c in ("p_name", "p_brand", "p_type")) + ")"
+_g = "list_distinct([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)])"
+O["lek9_containment"] = f"WITH a AS (SELECT doc_id, unnest({_g}) AS g FROM (SELECT doc_id, {_wd} AS w FROM documents) WHERE len(w) >= 13), b AS (SELECT file_id, unnest({_g}) AS g FROM (SELECT file_id, {_wd.replace('text', 'full_text')} AS w FROM document_data) WHERE len(w) >= 13), t AS (SELECT file_id, COUNT(*) AS t FROM b GROUP BY 1) SELECT doc_id, b.file_id, COUNT(*) AS shared, COUNT(*) / MAX(t) AS share FROM a JOIN b USING (g) JOIN t ON t.file_id = b.file_id GROUP BY doc_id, b.file_id"

@@ -43,3 +43,12 @@ def test_query(spark, duck, name):
         want = duck.sql(catalog.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 200"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
