@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import association as A, audits as U, change as C, relational as R, scores as S, statistics as G, text_quality as X
+from cairn.operators import association as A, audits as U, change as C, dimensions as M, relational as R, scores as S, statistics as G, text_quality as X
 from cairn.session import read
 
 Q, O = {}, {}
@@ -118,6 +118,21 @@ t AS (SELECT (0.20 * size + 0.17 * balance + 0.10 * CASE WHEN parts < 2 THEN 0 W
 SELECT round(CASE WHEN b THEN least(v, 50) ELSE v END, 2)::DOUBLE AS score, NOT b AND round(v, 2) >= 60 AS ready FROM t""",
 )
 
+# -- quality dimensions of any table ---------------------------------------------------------------------------------
+add("qlt9_dimensions", lambda s, d: M.dimensions(read(s, d, "demo_churn").drop("loaded_at"), "row_id", "churned"))
+add("qlt9_overall", lambda s, d: M.overall(M.dimensions(read(s, d, "customer"), "c_custkey", "c_mktsegment")))
+add("qlt10_recommendations", lambda s, d: M.recommendations(M.dimensions(read(s, d, "demo_churn").drop("loaded_at"), "row_id", "churned")))
+add(
+    "qlt4_hinted_ranges",
+    lambda s, d: s.createDataFrame([(M.validity(read(s, d, "demo_churn").select("age", "tenure_months", "monthly_charges", "contract")),)], "score double"),
+    "SELECT round(100 * (1 - ((SELECT AVG((age < 0 OR age > 130)::INT) FROM demo_churn WHERE NOT isnan(age)) + (SELECT AVG((tenure_months < 0)::INT) FROM demo_churn) + (SELECT AVG((monthly_charges < 0)::INT) FROM demo_churn WHERE NOT isnan(monthly_charges)) + (SELECT AVG((contract <> trim(contract, ' '))::INT) FROM demo_churn)) / 4), 4) AS score",
+)
+add(
+    "qlt5_ordered_pairs",
+    lambda s, d: s.createDataFrame([(M.consistency(read(s, d, "documents").select("created_at", "arrived_at")),)], "score double"),
+    "SELECT round(100 * (1 - AVG((created_at > arrived_at)::INT)), 4)::DOUBLE AS score FROM documents WHERE created_at IS NOT NULL AND arrived_at IS NOT NULL",
+)
+
 # -- exact quantiles -------------------------------------------------------------------------------------------------
 add(
     "agg8_quantiles_many",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn import engine
-from cairn.operators import audits, change, graph, outliers, relational, statistics, text_quality
+from cairn.operators import audits, change, dimensions, graph, outliers, relational, statistics, text_quality
 
 
 def test_schema_and_table_changes(spark):
@@ -139,8 +139,12 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     from cairn import session
 
     class Context:
+        """A cluster's context without a checkpoint folder."""
+
         master = "spark://host:7077"
-        _jsc = spark.sparkContext._jsc
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
 
     class Session:
         conf = {"spark.checkpoint.dir": None}
@@ -148,3 +152,21 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_quality_dimensions(spark):
+    rows = [(i, 20.0 + i % 50, 1.0 * (i % 7), 2.0 + i % 7, "red" if i % 2 else "blue", i % 2) for i in range(300)]
+    cols = "row_id long, age double, start_at double, end_at double, colour string, label int"
+    good = spark.createDataFrame(rows, cols)
+    d = {r.dimension: r.score for r in dimensions.dimensions(good, target="label").collect()}
+    assert set(d) == set(dimensions.K.WEIGHTS) and all(v is not None for v in d.values())
+    assert d["validity"] == d["consistency"] == d["integrity"] == d["completeness"] == 100
+    bad = spark.createDataFrame([(r[0] % 3, -5.0 if i % 2 else None, 9.0, 1.0, " a@b.org", 0) for i, r in enumerate(rows)], cols)
+    b = {r.dimension: r.score for r in dimensions.dimensions(bad, target="label").collect()}
+    assert b["validity"] == 0 + 100 * (1 - (1 + 0 + 1) / 2) and b["consistency"] == 0 and b["integrity"] == 85 and b["uniqueness"] < d["uniqueness"]
+    o, p = dimensions.overall(dimensions.dimensions(good, target="label")).first(), dimensions.overall(dimensions.dimensions(bad, target="label")).first()
+    assert o.grade in "AB" and p.score < o.score
+    advice = dimensions.recommendations(dimensions.dimensions(bad, target="label")).collect()
+    assert advice and {r.priority for r in advice} <= {"high", "medium", "low"} and "validity" in {r.dimension for r in advice}
+    assert dimensions.overall(dimensions.dimensions(good.limit(0), target="label")).first().score is not None
+    assert dimensions.ordered_pairs(["start_at", "end_at", "x", "min_v", "max_v"]) == [("start_at", "end_at"), ("min_v", "max_v")]
