@@ -130,6 +130,7 @@ class Model:
             self.n1[g[2]] = self.n1.get(g[2], 0) + n
             self.total += n
         self.cache: dict[str, float] = {}
+        self.odds: dict[str, dict[int, float]] = {}
         self.parts: dict[str, list[tuple[int, str]]] = {}
 
     def symbol(self, ctx: str, c: str) -> float:
@@ -168,8 +169,13 @@ def emissions(word: str, model: Model) -> dict[int, float]:
     """Log odds of each state against clean; states not named can't emit the word."""
     if "�" in word:
         return {LOSSY: 12.0 * word.count("�")}
-    base = model.word(word)
-    out = {i: model.word(w) - base for i, w in readings(word)}
+    out = model.odds.get(word)
+    if out is None:
+        base = model.word(word)
+        out = {i: model.word(w) - base for i, w in readings(word)}
+        if len(model.odds) > 100_000:
+            model.odds.clear()
+        model.odds[word] = out
     return out
 
 
@@ -220,20 +226,26 @@ def _lead() -> re.Pattern:
     return re.compile(f"[{re.escape(''.join(first))}][{re.escape(''.join(follow))}]")
 
 
-def _units(word: str, state: int) -> dict[int, tuple[int, str]]:
-    """Start to (stop, original) of the shortest stretches that the state's inverse transform reads by themselves."""
+def _units(word: str, state: int, known: dict) -> dict[int, tuple[int, str]]:
+    """Start to (stop, original) of the shortest stretches that the state's inverse transform reads by themselves.
+
+    Originals that the model never saw can't be likelier than what stands there and are left out.
+    """
     steps, out = STATES[state - 1], {}
+    utf8, table = steps[0][0] == "utf-8", _bytes_of(steps[0][1])
     for s, c in enumerate(word):
-        if c < "\x80":
+        b = table.get(c, 0)
+        if c < "\x80" or (utf8 and not 0xC2 <= b <= 0xF4):
             continue
-        for e in range(s + 1, min(len(word), s + 4 ** len(steps) * 3) + 1):
+        first = 1 if not utf8 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+        last = first if len(steps) == 1 else min(len(word) - s, 4 ** len(steps))
+        for e in range(s + first, min(len(word), s + last) + 1):
             w: str | None = word[s:e]
             for p in steps:
                 w = undo(w, p) if w is not None else None
             if w is not None and len(w) == 1:
-                out[s] = (e, w)
-                break
-            if state in _SINGLE:
+                if fold(w) in known:
+                    out[s] = (e, w)
                 break
     return out
 
@@ -246,7 +258,7 @@ def label_characters(word: str, model: "Model") -> list[tuple[int, str]]:
     """
     mixed = any(not c.isalnum() for c in word)
     states = (_UTF8 if _lead().search(word) else []) + (_SINGLE if mixed else [])
-    units = {i: u for i in states if (u := _units(word, i))}
+    units = {i: u for i in states if (u := _units(word, i, model.n1))}
     if not units:
         return [(0, word)]
     # per place and state: score, context, and the way back
