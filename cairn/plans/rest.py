@@ -39,15 +39,6 @@ add("drf7_split_shift", lambda s, d: S.split_shift(read(s, d, "lineitem"), ["l_q
 add("adv2_split", lambda s, d: (lambda r: s.createDataFrame([K.advise_split(r["t"], r["x"] / r["m"])], "test_share double, folds int, stratify boolean"))(read(s, d, "orders").groupBy("o_orderstatus").count().agg(F.sum("count").alias("t"), F.max("count").alias("x"), F.min("count").alias("m")).first()))
 add("adv4_pairwise_imbalance", lambda s, d: (lambda c: c.select(F.col("o_orderstatus").alias("a"), F.col("count").alias("na")).join(c.select(F.col("o_orderstatus").alias("b"), F.col("count").alias("nb")), F.col("a") < F.col("b")).select("a", "b", (F.greatest("na", "nb") / F.least("na", "nb")).alias("ratio")))(read(s, d, "orders").groupBy("o_orderstatus").count()), "WITH c AS (SELECT o_orderstatus AS k, COUNT(*) AS n FROM orders GROUP BY 1) SELECT a.k AS a, b.k AS b, greatest(a.n, b.n) / least(a.n, b.n) AS ratio FROM c a JOIN c b ON a.k < b.k")
 add("qlt6_integrity", lambda s, d: read(s, d, "documents").agg(*[F.count_if(F.col("text").rlike(rx)).alias(k) for k, rx in {"emails": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "urls": r"https?://"}.items()]), "SELECT COUNT(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails, COUNT(*) FILTER (WHERE regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}')) AS ssn, COUNT(*) FILTER (WHERE regexp_matches(text, 'https?://')) AS urls FROM documents")
-
-
-def _overall(s, d):
-    t = read(s, d, "customer")
-    got = {"completeness": K.completeness(t).first()["score"], "uniqueness": K.uniqueness(t, "c_custkey").first()["score"], "distribution": K.distribution_score(t, "c_acctbal").first()["score"], "readiness": float(K.readiness(t).first()["score"])}
-    return s.createDataFrame([K.overall(got)], "score double, grade string")
-
-
-add("qlt9_overall", _overall)
 add("dna2_similarity", lambda s, d: s.createDataFrame([(K.dna_similarity(K.dna(read(s, d, "customer")), K.dna(read(s, d, "supplier").toDF("c_custkey", "c_name", "c_nationkey", "c_acctbal"))),)], "similarity double"))
 _SY = "list_sum(list_transform(regexp_extract_all(lower(p_name), '[a-z]+'), lambda v: greatest(len(regexp_extract_all(v, '[aeiouy]+')) - CASE WHEN v LIKE '%e' AND len(regexp_extract_all(v, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1)))"
 add("txt2_syllables", lambda s, d: read(s, d, "part").select("p_partkey", F.aggregate(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z]+)"), 1), F.lit(0), lambda a, w: a + X.syllables(w).cast("int")).alias("syllables")), f"SELECT p_partkey, COALESCE({_SY}, 0)::INT AS syllables FROM part")
