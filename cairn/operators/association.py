@@ -136,7 +136,8 @@ def kruskal(df: DataFrame, group: str, name: str) -> DataFrame:
     x = df.select(F.col(group).alias("g"), finite(df.schema, name).alias("v")).dropna()
     c = x.groupBy("v").agg(F.count(F.lit(1)).alias("t"))
     ranks = running(c, "v", ["t"]).select(F.col("v").alias("_v"), (F.col("cum_t") - (F.col("t") - 1) / 2).alias("r"))
-    ties = c.agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double").alias("ties"))
+    t = F.col("t").cast("double")  # the cube of a count leaves the range of a long at some two million copies of a value
+    ties = c.agg(F.sum(t * (t * t - 1)).alias("ties"))
     per = x.join(ranks, F.col("v") == F.col("_v")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("rs"))
     s = per.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("q"), F.count(F.lit(1)).alias("groups")).crossJoin(ties)
     n = F.col("n")

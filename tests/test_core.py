@@ -409,3 +409,15 @@ def test_outlier_factor_keeps_the_isolated_point(spark):
     assert out.id == 1000
     few = spark.createDataFrame([(1, 5.0, 0.0), (2, None, 0.9), (3, 7.0, 0.05)], "id long, a double, b double")
     assert C.knn_impute(few, "id", "a", ["b"], k=1).first().imputed == 7.0
+
+
+def test_kruskal_takes_counts_whose_cubes_leave_the_range_of_a_long(spark):
+    n = 6_000_000
+    x = spark.range(n).select((F.col("id") % 2).alias("g"), ((F.col("id") >= n // 2) | (F.col("id") % 100 == 0)).cast("double").alias("v"))
+    low, a = n // 2 - n // 200, n // 4 - n // 200  # zeros, zeros of the even rows; the odd ones have n / 4
+    assert low**3 + (n - low) ** 3 > 2**63
+    r0, r1 = (low + 1) / 2, low + (n - low + 1) / 2
+    rs = [k * r0 + (n // 2 - k) * r1 for k in (a, n // 4)]
+    h = (12 / (n * (n + 1)) * sum(r * r / (n // 2) for r in rs) - 3 * (n + 1)) / (1 - (low**3 - low + (n - low) ** 3 - (n - low)) / (n**3 - n))
+    got = A.kruskal(x, "g", "v").first()
+    assert got.h == pytest.approx(h, rel=1e-6) and (got.groups, got.n) == (2, n)
