@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cairn.operators.text import sentences, words
@@ -46,26 +49,125 @@ def simhash_pairs(df: DataFrame, key: str, name: str, distance: int = 3) -> Data
     return apart.union(same)
 
 
-def cosine_pairs(df: DataFrame, key: str, name: str, limit: float = 0.85) -> DataFrame:
+def cosine_pairs(df: DataFrame, key: str, name: str, limit: float = 0.85, size: int = 8192) -> DataFrame:
     """(id_a, id_b, cosine) of different texts by word tf-idf (smooth idf, unit length), at least ``limit``.
 
-    Exact by prefixes: terms are ordered from rare to frequent, and a pair over the limit shares a term
-    in the part of the vector before the remaining weight falls under the limit.
+    Exact, and no candidates are shuffled: texts lie in blocks of at most ``size``, by their most frequent
+    word, and every two blocks are read together. Of two blocks only their common words count, and only
+    texts with enough of their weight in them. Products of the blocks' weightiest words and of the norms of
+    the rest are no less than the cosine; pairs over the limit by that are computed from whole vectors. The
+    words of two and more texts are broadcast.
     """
     w = df.where(F.col(name).isNotNull()).select(F.col(key).alias("id"), words(F.col(name)).alias("w")).where(F.size("w") > 0)
     reps = cut(w.groupBy("w").agg(F.min("id").alias("id")))
     n = reps.count()
-    tf = reps.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).alias("c"))
-    dfreq = tf.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    v = tf.join(dfreq, "t").withColumn("x", F.col("c") * (F.log((1 + n) / (1 + F.col("f"))) + 1))
-    v = cut(v.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))))
-    order = Window.partitionBy("id").orderBy("f", "t")
-    rest = 1 - F.coalesce(F.sum(F.col("x") * F.col("x")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pre = v.withColumn("rest", rest).where((F.sqrt(F.greatest("rest", F.lit(0.0))) >= limit) & (F.col("f") > 1)).select("t", "id")
-    a, b = pre.select("t", F.col("id").alias("id_a")), pre.select("t", F.col("id").alias("id_b"))
-    cand = a.join(b, "t").where("id_a < id_b").select("id_a", "id_b").distinct()
-    va, vb = v.select(F.col("id").alias("id_a"), "t", F.col("x").alias("xa")), v.select(F.col("id").alias("id_b"), "t", F.col("x").alias("xb"))
-    return cand.join(va, "id_a").join(vb, ["id_b", "t"]).groupBy("id_a", "id_b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine")).where(F.col("cosine") >= limit)
+    known = reps.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1").toArrow().combine_chunks()
+    if not known.num_rows:
+        return reps.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("cosine")).limit(0)
+    told = df.sparkSession.sparkContext.broadcast((known["t"].combine_chunks(), known["f"].to_numpy()))
+    kind = reps.schema["id"].dataType.simpleString()
+    vec = cut(reps.select("id", "w").mapInArrow(lambda b: _vectors(b, told.value, n), f"id {kind}, norm double, top int, t array<int>, c array<int>"))
+    per = vec.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("p"))
+    parts = F.greatest(F.ceil(F.sum("n") / size), F.ceil(F.sum("p") / (size * 128))).cast("int").alias("parts")
+    own = per.orderBy(F.desc("n"), "top").limit(256).where(F.col("n") >= size // 4).select("top")
+    plan = [r.parts for r in per.join(own, "top", "left_anti").agg(parts).collect()] + [(r.top, r.parts) for r in per.join(own, "top").groupBy("top").agg(parts).orderBy("top").collect()]
+    rest, first, rows = max(plan[0] or 1, 1), 0, []
+    first = rest
+    for top, k in plan[1:]:
+        rows.append((top, first, k))
+        first += k
+    at = df.sparkSession.createDataFrame(rows, "top int, first int, parts int")
+    place = F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(rest))).cast("int")
+    blocks = cut(vec.join(F.broadcast(at), "top", "left").groupBy(place.alias("block")).agg(F.collect_list(F.struct("id", "norm", "t", "c")).alias("d")))
+    two = blocks.select(F.col("block").alias("i"), F.col("d").alias("a")).crossJoin(blocks.select(F.col("block").alias("j"), F.col("d").alias("b"))).where("i <= j")
+    got = cut(two.mapInArrow(lambda b: _block_pairs(b, told.value[1], n, limit), f"a {kind}, b {kind}, cosine double"), {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"})
+    return got.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "cosine")
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], told: tuple[pa.Array, np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+    """(id, norm, top, t, c): the known words of each text and their counts, the norm of all its words, its most frequent word; texts without known words are left out."""
+    terms, f = told
+    for batch in batches:
+        ids, ws = batch.column("id"), batch.column("w")
+        at = ws.offsets.to_numpy().astype(np.int64)
+        enc = ws.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        t_of = pc.fill_null(pc.index_in(enc.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)
+        many = len(t_of)
+        cell, c = np.unique(np.repeat(np.arange(len(ids)), np.diff(at)) * many + enc.indices.to_numpy(), return_counts=True)
+        row, t = cell // many, t_of[cell % many].astype(np.int64)
+        x = c * (np.log((1 + n) / (1 + np.where(t < 0, 1, f[t]))) + 1)
+        norm = np.sqrt(np.bincount(row, x * x, len(ids)))
+        row, t, c = row[t >= 0], t[t >= 0], c[t >= 0]
+        has, begin, length = np.unique(row, return_index=True, return_counts=True)
+        if not len(has):
+            continue
+        top = np.maximum.reduceat(f[t] * len(f) + t, begin) % len(f)
+        ptr = pa.array(np.append(0, np.cumsum(length)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ptr, pa.array(v.astype(np.int32))) for v in (t, c)]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(has)), pa.array(norm[has]), pa.array(top.astype(np.int32)), *lists], ["id", "norm", "top", "t", "c"])
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], f: np.ndarray, n: int, limit: float, dims: int = 512, rest: int = 32, step: int = 1024) -> Iterator[pa.RecordBatch]:
+    """(a, b, cosine) of the texts of two blocks, each pair of one block once."""
+    idf, words_ = np.log((1 + n) / (1 + f)) + 1, len(f)
+
+    def unpack(d: pa.StructArray):
+        ids, norm, t, c = d.flatten()
+        at = t.offsets.to_numpy().astype(np.int64)
+        t, c = t.values.to_numpy()[at[0] : at[-1]], c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()]
+        row = np.repeat(np.arange(len(ids)), np.diff(at))
+        return ids, at - at[0], row, t, c * idf[t] / norm.to_numpy()[row]
+
+    def dense(row: np.ndarray, t: np.ndarray, x: np.ndarray, use: np.ndarray, col: np.ndarray):
+        """The texts with enough weight in the words that count, their weights by dimension."""
+        m = use[t]
+        row, t, x = row[m], t[m], x[m]
+        enough = np.nonzero(np.bincount(row, x * x, row[-1] + 1 if len(row) else 0) >= limit * limit - 1e-9)[0]
+        if not len(enough):
+            return enough, None
+        new = np.full(row[-1] + 1, -1)
+        new[enough] = np.arange(len(enough))
+        m = new[row] >= 0
+        row, at, t, x = new[row[m]], col[t[m]], t[m], x[m]
+        out = np.zeros((len(enough), dims + rest), np.float32)
+        m = at >= 0
+        out[row[m], at[m]] = x[m]
+        out[:, dims:] = np.sqrt(np.bincount(row[~m] * rest + t[~m] % rest, x[~m] * x[~m], len(enough) * rest)).reshape(-1, rest)
+        return enough, out
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            same = batch.column("i")[r] == batch.column("j")[r]
+            ia, pa_, ra, ta, xa = a = unpack(batch.column("a")[r].values)
+            ib, pb, rb, tb, xb = a if same else unpack(batch.column("b")[r].values)
+            both = np.minimum(np.bincount(ta, xa * xa, words_), np.bincount(tb, xb * xb, words_))
+            use, col = both > 0, np.full(words_, -1)
+            best = np.argpartition(-both, min(dims, words_) - 1)[:dims]
+            col[best] = np.arange(len(best))
+            na, da = dense(ra, ta, xa, use, col)
+            nb, db = (na, da) if same else dense(rb, tb, xb, use, col)
+            if not len(na) or not len(nb):
+                continue
+            whole, found = np.zeros(words_), []
+            for s in range(0, len(na), step):
+                i, j = np.nonzero(da[s : s + step] @ db.T >= limit - 1e-4)  # single precision
+                i, j = na[i + s], nb[j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                for k, begin, count in zip(*np.unique(i, return_index=True, return_counts=True)):
+                    js = j[begin : begin + count]
+                    mine = slice(pa_[k], pa_[k + 1])
+                    whole[ta[mine]] = xa[mine]
+                    length = pb[js + 1] - pb[js]
+                    ends = np.cumsum(length)
+                    flat = np.repeat(pb[js] - ends + length, length) + np.arange(ends[-1])
+                    cos = np.add.reduceat(whole[tb[flat]] * xb[flat], ends - length)
+                    whole[ta[mine]] = 0.0
+                    hit = cos >= limit
+                    found.append((np.full(hit.sum(), k), js[hit], cos[hit]))
+            if found:
+                k, js, cos = (np.concatenate(v) for v in zip(*found))
+                yield pa.RecordBatch.from_arrays([ia.take(pa.array(k)), ib.take(pa.array(js)), pa.array(cos)], ["a", "b", "cosine"])
 
 
 def jaccard(a: Column, b: Column) -> Column:

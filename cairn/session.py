@@ -36,15 +36,25 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/cairn-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, conf: dict[str, str] | None = None) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder once and read again.
 
     Unlike a local checkpoint the files outlive a lost executor. They stay until ``clean`` is called, as
-    results are lazy and may read them at any time.
+    results are lazy and may read them at any time. The shuffle files of the write go with it, or the steps
+    of one query would add up on the disks until the driver's garbage is collected. ``conf`` holds for the
+    write only.
     """
     spark = df.sparkSession
     path = f"{_run_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (conf or {})
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -421,3 +421,49 @@ def test_kruskal_takes_counts_whose_cubes_leave_the_range_of_a_long(spark):
     h = (12 / (n * (n + 1)) * sum(r * r / (n // 2) for r in rs) - 3 * (n + 1)) / (1 - (low**3 - low + (n - low) ** 3 - (n - low)) / (n**3 - n))
     got = A.kruskal(x, "g", "v").first()
     assert got.h == pytest.approx(h, rel=1e-6) and (got.groups, got.n) == (2, n)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    from cairn.session import cut
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before = shuffled()
+    assert len(cut(spark.range(1000).groupBy((F.col("id") % 7).alias("g")).count()).collect()) == 7
+    for _ in range(50):
+        if not (left := {f for f in shuffled() - before if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_cosine_pairs_match_brute_force_over_many_blocks(spark):
+    import random
+
+    rng = random.Random(11)
+    docs = [[f"w{lang}x{rng.randint(0, 40)}" for _ in range(rng.randint(1, 30))] for lang in range(3) for _ in range(60)]
+    docs += [[*d[1:], "once"] for d in docs[::4]] + [[f"alone{i}"] for i in range(5)] + [docs[0]]
+    n = len({tuple(d) for d in docs})
+    first = {}
+    for i, d in enumerate(docs):
+        first.setdefault(tuple(d), i)
+    freq = {}
+    for d in first:
+        for t in set(d):
+            freq[t] = freq.get(t, 0) + 1
+    unit = {}
+    for d, i in first.items():
+        x = {t: d.count(t) * (math.log((1 + n) / (1 + freq[t])) + 1) for t in d}
+        s = math.sqrt(sum(v * v for v in x.values()))
+        unit[i] = {t: v / s for t, v in x.items()}
+    want = {(i, j): c for i in unit for j in unit if i < j and (c := sum(v * unit[j].get(t, 0.0) for t, v in unit[i].items())) >= 0.6}
+    got = corpus.cosine_pairs(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "id long, t string"), "id", "t", 0.6, size=16)
+    rows = {(r.id_a, r.id_b): r.cosine for r in got.collect()}
+    assert len(want) > 20 and rows == pytest.approx(want)
+    assert corpus.cosine_pairs(spark.createDataFrame([(1, "a"), (2, None)], "id long, t string"), "id", "t").count() == 0
