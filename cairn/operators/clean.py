@@ -111,9 +111,10 @@ def nearest_rows(ask: DataFrame, donors: DataFrame, k: int, itself: bool = False
     """(k, o, d, ...): exactly the ``k`` nearest ``donors`` (o, y, ...) of each of ``ask`` (k, x), ties to the smaller o.
 
     ``x`` and ``y`` are arrays scaled to 0..1; with ``itself`` a row is no neighbour of its own key. Of
-    equal donors only the first can be among the nearest. The unit square of the first two columns is
-    halved again and again; a row starts in its smallest cell with enough donors. The k-th distance in
-    there bounds the true one, and a second join reads all cells that this radius touches.
+    equal donors only the first can be among the nearest, and equal rows of ``ask`` are searched for once.
+    The unit square of the first two columns is halved again and again; a row starts in its smallest cell
+    with enough donors. The k-th distance in there bounds the true one, and a second join reads all cells
+    that this radius touches.
     """
     least = k + itself
     same = Window.partitionBy("y").orderBy("o")
@@ -132,25 +133,26 @@ def nearest_rows(ask: DataFrame, donors: DataFrame, k: int, itself: bool = False
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("l")
     laid = donors.select("*", levels).withColumn("cell", cell("y"))
     full = laid.groupBy("l", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(least, total)).select("l", "cell")
-    own = ask.select("k", "x", levels).withColumn("cell", cell("x")).join(full, ["l", "cell"]).groupBy("k", "x").agg(F.max("l").alias("l"))
+    own = ask.select("x").distinct().select("x", levels).withColumn("cell", cell("x")).join(full, ["l", "cell"]).groupBy("x").agg(F.max("l").alias("l"))
     d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    apart = F.col("k") != F.col("o") if itself else F.lit(True)
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("d", "o"))
+    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("d", "o"))
 
     def meet(start: DataFrame) -> DataFrame:
         start = cut(start)
         used = [r.l for r in start.select("l").distinct().collect()]  # at most depth + 1
-        return start.join(laid.where(F.col("l").isin(used)), ["l", "cell"]).where(apart).withColumn("d", d)
+        return start.join(laid.where(F.col("l").isin(used)), ["l", "cell"]).withColumn("d", d)
 
-    first = meet(own.withColumn("cell", cell("x"))).select("k", "x", "l", "o", "d").withColumn("r", rank).where(F.col("r") <= k)
-    reach = first.groupBy("k", "x", "l").agg(F.max("d").alias("u"))
+    first = meet(own.withColumn("cell", cell("x"))).select("x", "l", "o", "d").withColumn("r", rank("x")).where(F.col("r") <= least)
+    reach = first.groupBy("x", "l").agg(F.max("d").alias("u"))
     fits = F.when(F.col("u") > 0, F.floor(-F.log2(F.when(F.col("u") > 0, F.col("u"))))).otherwise(F.col("l"))
     reach = reach.withColumn("l", F.greatest(F.least(F.col("l"), fits), F.lit(0)).cast("int"))  # cells at least as wide as the radius
     wide = F.col("u") * (1 + 1e-9) + 1e-15  # rounding
     sides = F.transform(F.slice("x", 1, 2), lambda e: F.sequence(place(e - wide, F.col("l")), place(e + wide, F.col("l"))))
     cells = F.aggregate(sides, F.array(F.array().cast("array<bigint>")), lambda acc, s: F.flatten(F.transform(acc, lambda c: F.transform(s, lambda e: F.concat(c, F.array(e))))))
     near = meet(reach.withColumn("cell", F.explode(cells))).where(F.col("d") <= F.col("u"))
-    return near.select("k", "o", "d", *extra).withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    near = near.select("x", "o", "d", *extra).withColumn("r", rank("x")).where(F.col("r") <= least).drop("r")
+    per = ask.select("k", "x").join(near, "x").drop("x")
+    return per.where(F.col("k") != F.col("o")).withColumn("r", rank("k")).where(F.col("r") <= k).drop("r") if itself else per
 
 
 def chained_impute(df: DataFrame, names: list[str], rounds: int = 3) -> DataFrame:

@@ -192,18 +192,25 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = 50,
 
 
 def local_outlier_factor(df: DataFrame, key: str, names: list[str], k: int = 10, contamination: float = 0.05) -> DataFrame:
-    """(key, score): local outlier factor over the exact nearest neighbours, columns scaled to their ranges."""
+    """(key, score): local outlier factor over the exact nearest neighbours, columns scaled to their ranges.
+
+    Of equal rows the first k + 1 can be neighbours; all further ones have the score of the next.
+    """
     from cairn.operators.clean import nearest_rows
 
     lim = df.agg(*[F.struct(F.min(finite(df.schema, c)).alias("a"), F.max(finite(df.schema, c)).alias("b")).alias(f"r{i}") for i, c in enumerate(names)]).first()
     xs = [((finite(df.schema, c) - F.lit(lim[f"r{i}"]["a"])) / max((lim[f"r{i}"]["b"] or 0) - (lim[f"r{i}"]["a"] or 0), 1e-12)) for i, c in enumerate(names)]
     p = df.select(F.col(key).alias("k"), F.array(*xs).alias("x")).where(~F.exists("x", lambda e: e.isNull()))
-    nb = cut(nearest_rows(p, p.select(F.col("k").alias("o"), F.col("x").alias("y")), k, itself=True))
+    some = cut(p.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("k"))).where(F.col("r") <= k + 2))
+    nb = cut(nearest_rows(some.select("k", "x"), some.select(F.col("k").alias("o"), F.col("x").alias("y")), k, itself=True))
     kd = nb.groupBy("k").agg(F.max("d").alias("kd"))
     reach = nb.join(kd.select(F.col("k").alias("o"), F.col("kd").alias("okd")), "o").select("k", "o", F.greatest("d", "okd").alias("rd"))
     lrd = reach.groupBy("k").agg((1 / (F.avg("rd") + 1e-12)).alias("lrd"))
-    lof = nb.join(lrd.select(F.col("k").alias("o"), F.col("lrd").alias("ol")), "o").groupBy("k").agg(F.avg("ol").alias("ol")).join(lrd, "k").select(F.col("k").alias(key), (F.col("ol") / F.col("lrd")).alias("score"))
-    lof = cut(lof)
+    lof = nb.join(lrd.select(F.col("k").alias("o"), F.col("lrd").alias("ol")), "o").groupBy("k").agg(F.avg("ol").alias("ol")).join(lrd, "k").select("k", (F.col("ol") / F.col("lrd")).alias("score"))
+    lof = cut(lof.join(some, "k"))
+    further = lof.where(F.col("r") == k + 2).select("x", F.col("score").alias("as_next"))
+    every = p.join(further, "x", "left").join(lof.select("k", "score"), "k", "left")
+    lof = cut(every.select(F.col("k").alias(key), F.coalesce("score", "as_next").alias("score")).where("score IS NOT NULL"))
     bound = lof.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("b"))
     return lof.crossJoin(F.broadcast(bound)).where("score >= b").select(key, "score")
 

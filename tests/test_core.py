@@ -467,3 +467,30 @@ def test_cosine_pairs_match_brute_force_over_many_blocks(spark):
     rows = {(r.id_a, r.id_b): r.cosine for r in got.collect()}
     assert len(want) > 20 and rows == pytest.approx(want)
     assert corpus.cosine_pairs(spark.createDataFrame([(1, "a"), (2, None)], "id long, t string"), "id", "t").count() == 0
+
+
+def test_outlier_factor_of_copies(spark):
+    """Every row's factor by brute force, where points have more copies than neighbours count; the points' searches don't grow with the copies."""
+    import numpy as np
+
+    at = [(0.0, 0.0)] * 9 + [(1.0, 1.0)] * 3 + [(2.0, 0.5), (5.0, 5.0), (10.0, 9.0)] + [(3.0, 3.0)] * 6
+    x = np.array(at)
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    k, n = 3, len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    nb = [sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:k] for i in range(n)]
+    kd = [d[i, nb[i]].max() for i in range(n)]
+    lrd = [1 / (np.mean([max(d[i, j], kd[j]) for j in nb[i]]) + 1e-12) for i in range(n)]
+    want = {i: np.mean([lrd[j] for j in nb[i]]) / lrd[i] for i in range(n)}
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(at)] + [(99, None, 1.0)], "id long, a double, b double")
+    got = {r.id: r.score for r in U.local_outlier_factor(df, "id", ["a", "b"], k, contamination=1.0).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_outlier_factor_searches_a_point_once(spark, monkeypatch):
+    asked = []
+    search = C.nearest_rows
+    monkeypatch.setattr(C, "nearest_rows", lambda ask, *a, **k: (asked.append(ask.count()), search(ask, *a, **k))[1])
+    df = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(600)], "id long, a double, b double")
+    assert U.local_outlier_factor(df, "id", ["a", "b"], 4).count() == 600
+    assert asked == [18]
