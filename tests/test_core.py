@@ -494,3 +494,23 @@ def test_outlier_factor_searches_a_point_once(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(600)], "id long, a double, b double")
     assert U.local_outlier_factor(df, "id", ["a", "b"], 4).count() == 600
     assert asked == [18]
+
+
+def test_row_pairs_write_no_cells_per_prefix(spark):
+    """Pairs of many kinds of cells by brute force, nulls and repeated keys among them; the plan shuffles codes, never lists of cells."""
+    import random
+
+    from cairn.operators.graph import row_pairs
+
+    rng = random.Random(8)
+    row = lambda i: (i // 2, rng.choice(["x", "y", None]), rng.randint(0, 2), float(rng.randint(0, 1)), rng.choice([None, dt.date(2020, 1, 1), dt.date(2020, 1, 2)]), rng.randint(0, 3))
+    te, tr = [row(i) for i in range(80)], [row(1000 + i) for i in range(90)]
+    schema, cols = "id long, a string, b int, c double, d date, e long", ["a", "b", "c", "d", "e"]
+    first = {}
+    for side, rows in (("a", te), ("b", tr)):
+        for i, *cells in rows:
+            first[side, tuple(cells)] = min(i, first.get((side, tuple(cells)), i))
+    want = {(i, j, m / (10 - m)) for (s, x), i in first.items() for (z, y), j in first.items() if s == "a" and z == "b" and (m := sum(u == v for u, v in zip(x, y))) / (10 - m) >= 0.6}
+    df = row_pairs(spark.createDataFrame(te, schema), spark.createDataFrame(tr, schema), "id", cols, 0.6)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and want
+    assert "array<" not in df._jdf.queryExecution().toString() and "explode" not in df._jdf.queryExecution().toString()
