@@ -6,8 +6,14 @@ Pairs are made from equal digests or bands, never from all rows, and copies are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.session import cut
+
 WORD = r"[\p{L}\p{N}']+"
 # Everyday English words for sentiment and hedging.
 POSITIVE = ["good", "great", "excellent", "clean", "stable", "improved", "correct", "better", "best", "useful", "valid", "ready", "success", "clear", "strong", "right", "safe", "fair", "steady", "easy"]
@@ -191,10 +197,59 @@ def rule_pii(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.select(key, mails.alias("emails"), ips.alias("ips"), cards.alias("cards"), F.greatest(100 - 15 * (mails + ips) - 25 * cards, F.lit(0)).alias("score"))
 
 
-def containment(df: DataFrame, key: str, name: str, other: DataFrame, other_key: str, other_name: str, size: int = 8) -> DataFrame:
-    """(key, other_key, shared, share): word n-grams of ``other`` (evaluation passages) found in the corpus."""
-    grams = lambda d, k, c: d.select(F.col(k).alias("k"), words(F.col(c)).alias("w")).where(F.size("w") >= size).select("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " "))))).alias("g"))
-    o = grams(other, other_key, other_name)
-    total = o.groupBy("k").agg(F.count(F.lit(1)).alias("t"))
-    hits = grams(df, key, name).withColumnRenamed("k", key).join(o.withColumnRenamed("k", "_o"), "g").groupBy(key, "_o").agg(F.count(F.lit(1)).alias("shared"))
-    return hits.join(total, F.col("_o") == F.col("k")).select(key, F.col("_o").alias(other_key), "shared", (F.col("shared") / F.col("t")).alias("share"))
+def containment(df: DataFrame, key: str, name: str, other: DataFrame, other_key: str, other_name: str, size: int = 8, block: int = 1 << 18) -> DataFrame:
+    """(key, other_key, shared, share): word n-grams of ``other`` (evaluation passages) found in the corpus.
+
+    Digests alone are shuffled to find the n-grams of both sides; of these each text keeps its list. Blocks
+    of some ``block`` n-grams of either side are read two by two, so the pairs themselves, which grow with
+    the square of a common passage's texts, are never shuffled.
+    """
+    digests = lambda d, k, c: d.select(F.col(k).alias("k"), words(F.col(c)).alias("w")).where(F.size("w") >= size).select("k", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))).alias("gs"))
+    da, db = digests(df, key, name), digests(other, other_key, other_name)
+    grams = lambda d: d.select("k", F.explode("gs").alias("g"))
+    shared = cut(grams(da).select("g").distinct().join(grams(db).select("g").distinct(), "g"))
+    if shared.count() <= 1 << 22:
+        shared = F.broadcast(shared)
+    total = db.groupBy("k").agg(F.sum(F.size("gs")).alias("t"))
+
+    def blocks(d: DataFrame, s: str) -> DataFrame:
+        """The n-grams of both sides by text, texts by block."""
+        kept = grams(d).join(shared, "g", "left_semi").groupBy("k").agg(F.collect_list("g").alias("gs"))
+        kept = cut(kept.withColumn("t", F.lit(0).cast("long")) if s == "a" else kept.join(total, "k"))
+        many = (kept.agg(F.sum(F.size("gs")).alias("n")).first().n or 0) // block + 1
+        return cut(kept.groupBy(F.pmod(F.xxhash64("k"), F.lit(many)).alias("at")).agg(F.collect_list(F.struct("k", "t", "gs")).alias(s))).select(s)
+
+    kinds = [d.schema["k"].dataType.simpleString() for d in (da, db)]
+    met = blocks(da, "a").crossJoin(blocks(db, "b")).mapInArrow(_shared_grams, f"a {kinds[0]}, b {kinds[1]}, shared long, share double")
+    return met.select(F.col("a").alias(key), F.col("b").alias(other_key), "shared", "share")
+
+
+def _shared_grams(batches: Iterator[pa.RecordBatch], step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared, share) of the texts of two blocks, some ``step`` common n-grams at a time, each text's together."""
+
+    def unpack(d: pa.StructArray):
+        k, t, gs = d.flatten()
+        at = gs.offsets.to_numpy().astype(np.int64)
+        return k, t.to_numpy(), gs.values.to_numpy()[at[0] : at[-1]], np.repeat(np.arange(len(k)), np.diff(at))
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ka, _, ga, ra = unpack(batch.column("a")[r].values)
+            kb, tb, gb, rb = unpack(batch.column("b")[r].values)
+            order = np.argsort(gb, kind="stable")
+            gb, rb = gb[order], rb[order]
+            begin = np.searchsorted(gb, ga, "left")
+            length = np.searchsorted(gb, ga, "right") - begin
+            ra, begin, length = ra[length > 0], begin[length > 0], length[length > 0]
+            first = np.nonzero(np.diff(ra, prepend=-1))[0]  # the first n-gram of each text
+            hits = np.cumsum(length) - length
+            s = 0
+            while s < len(ra):
+                nxt = first[np.searchsorted(hits[first], hits[s] + step)] if hits[first[-1]] >= hits[s] + step else len(ra)
+                ln = length[s:nxt]
+                ends = np.cumsum(ln)
+                pairs = np.repeat(ra[s:nxt] * len(kb), ln) + rb[np.repeat(begin[s:nxt] - ends + ln, ln) + np.arange(ends[-1])]
+                pairs, n = np.unique(pairs, return_counts=True)
+                i, j = pairs // len(kb), pairs % len(kb)
+                yield pa.RecordBatch.from_arrays([ka.take(pa.array(i)), kb.take(pa.array(j)), pa.array(n.astype(np.int64)), pa.array(n / tb[j])], ["a", "b", "shared", "share"])
+                s = nxt

@@ -514,3 +514,18 @@ def test_row_pairs_write_no_cells_per_prefix(spark):
     df = row_pairs(spark.createDataFrame(te, schema), spark.createDataFrame(tr, schema), "id", cols, 0.6)
     assert sorted(tuple(r) for r in df.collect()) == sorted(want) and want
     assert "array<" not in df._jdf.queryExecution().toString() and "explode" not in df._jdf.queryExecution().toString()
+
+
+def test_containment_matches_brute_force_over_many_blocks(spark):
+    import random
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice("abcd") for _ in range(rng.choice([0, 2, 5, 30])))
+    te, tr = [(i, text()) for i in range(60)] + [(99, None)], [(f"f{i}", text()) for i in range(50)]
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [(t or "").split()] for i in range(len(w) - 2)}
+    want = {(i, j, len(s), len(s) / len(grams(u))) for i, t in te for j, u in tr if (s := grams(t) & grams(u))}
+    a, b = spark.createDataFrame(te, "id long, t string"), spark.createDataFrame(tr, "f string, u string")
+    got = X.containment(a, "id", "t", b, "f", "u", 3, block=100)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 100
+    assert got.columns == ["id", "f", "shared", "share"] and X.containment(a.limit(0), "id", "t", b, "f", "u", 3).count() == 0
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()  # pairs are not shuffled
