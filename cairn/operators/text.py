@@ -204,13 +204,14 @@ def containment(df: DataFrame, key: str, name: str, other: DataFrame, other_key:
     of some ``block`` n-grams of either side are read two by two, so the pairs themselves, which grow with
     the square of a common passage's texts, are never shuffled.
     """
-    digests = lambda d, k, c: d.select(F.col(k).alias("k"), words(F.col(c)).alias("w")).where(F.size("w") >= size).select("k", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))).alias("gs"))
-    da, db = digests(df, key, name), digests(other, other_key, other_name)
-    grams = lambda d: d.select("k", F.explode("gs").alias("g"))
+    split = lambda d, k, c: d.select(F.col(k).alias("k"), words(F.col(c)).alias("w")).where(F.size("w") >= size)
+    da, db = split(df, key, name), split(other, other_key, other_name)
+    digests = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " "))))
+    grams = lambda d: d.select("k", F.explode(digests).alias("g"))  # noqa: E731; a filter on a named list would split the text anew for each n-gram
     shared = cut(grams(da).select("g").distinct().join(grams(db).select("g").distinct(), "g"))
     if shared.count() <= 1 << 22:
         shared = F.broadcast(shared)
-    total = db.groupBy("k").agg(F.sum(F.size("gs")).alias("t"))
+    total = grams(db).groupBy("k").agg(F.count(F.lit(1)).alias("t"))
 
     def blocks(d: DataFrame, s: str) -> DataFrame:
         """The n-grams of both sides by text, texts by block."""
